@@ -48,10 +48,9 @@ def _json_type(variant: str) -> str:
 def file_fields(files: DataFrame) -> DataFrame:
     """(feed, file_name, field, types) of every file: its fingerprint, one row a field."""
     lines = files.select("feed", "file_name", F.expr("try_parse_json(payload)").alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
-    keys = lines.selectExpr("feed", "file_name", "v").lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("v").outer())) if hasattr(lines, "lateralJoin") else lines
-    top = keys.select("feed", "file_name", "key", "value")
-    named = top.select("feed", "file_name", F.col("key").alias("field"), F.expr(_json_type("value")).alias("type"))
     spark = files.sparkSession
+    top = lines.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("feed", "file_name", "key", "value")
+    named = top.select("feed", "file_name", F.col("key").alias("field"), F.expr(_json_type("value")).alias("type"))
     blocks = top.where("key = 'blocks' AND schema_of_variant(value) LIKE 'ARRAY%'").select("feed", "file_name", F.col("value").alias("blocks"))
     each = blocks.lateralJoin(spark.tvf.variant_explode(F.col("blocks").outer())).select("feed", "file_name", F.col("value").alias("block")).where("schema_of_variant(block) LIKE 'OBJECT%'")
     inner = each.lateralJoin(spark.tvf.variant_explode(F.col("block").outer())).select("feed", "file_name", F.concat(F.lit("blocks[]."), "key").alias("field"), F.expr(_json_type("value")).alias("type"))
@@ -137,6 +136,6 @@ def pages(files: DataFrame) -> DataFrame:
     return lines.selectExpr(
         "feed", "file_name", "line_no", f"coalesce({get('schema_version')}, '{DEFAULTS['schema_version']}') AS schema_version", f"{get('book_id')} AS book_id", f"try_cast({get('page_number')} AS int) AS page_number",
         f"coalesce({get('page_type')}, '{DEFAULTS['page_type']}') AS page_type",
-        "CASE WHEN schema_of_variant(v:warnings::variant) LIKE 'ARRAY%' THEN size(v:warnings::array<variant>) ELSE coalesce(try_variant_get(v, '$.warnings', 'int'), 0) END AS n_warnings".replace("v:warnings::variant", "variant_get(v, '$.warnings')").replace("v:warnings::array<variant>", "try_variant_get(v, '$.warnings', 'array<variant>')"),
+        "CASE WHEN schema_of_variant(variant_get(v, '$.warnings')) LIKE 'ARRAY%' THEN size(try_variant_get(v, '$.warnings', 'array<variant>')) ELSE coalesce(try_variant_get(v, '$.warnings', 'int'), 0) END AS n_warnings",
         f"{block} AS blocks",
     )
