@@ -49,7 +49,7 @@ def lenient(text: str) -> str:
     """The default repair stage: trailing commas and numbers with leading zeros, outside of strings."""
     parts = re.split(r'("(?:[^"\\]|\\.)*")', text)
     parts[::2] = [re.sub(r"(:\s*)0+(\d)", r"\1\2", re.sub(r",(\s*[}\]])", r"\1", p)) for p in parts[::2]]
-    return re.sub(r",(\s*[}\]])", r"\1", "".join(parts))
+    return "".join(parts)
 
 
 def as_text(v: object) -> str:

@@ -24,7 +24,7 @@ def markdown_files(spark: SparkSession, folder: str, glob: str = "*.md") -> Data
 
 def log_files(spark: SparkSession, folder: str, glob: str = "*.log") -> DataFrame:
     """(log_file, line_no, value): lines of log files, numbered from 1 within their file."""
-    t = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("log_file"), F.regexp_replace("value", r"\n$", "").alias("value"))
+    t = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("log_file"), F.regexp_replace("value", r"\n\z", "").alias("value"))
     return t.select("log_file", F.posexplode(F.split("value", r"\r?\n")).alias("i", "value")).select("log_file", (F.col("i") + 1).cast("long").alias("line_no"), "value")
 
 
