@@ -55,14 +55,13 @@ def fingerprints(codes: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
     w = span - gram + 1
-    # The least of each w consecutive hashes, by doubling; ties fall to equal hashes, of which the leftmost in each is taken.
+    # The least of each w consecutive hashes, by doubling; equal hashes are thinned out below.
     low, width = h, 1
     while width * 2 <= w:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     if width < w:
         low = np.minimum(low[: len(h) - w + 1], low[w - width :])
-    keep = np.zeros(len(h), dtype=bool)
     # A gram is kept if it is the minimum of a window that holds it: compare with the windows that begin up to w - 1 before.
     top, width = low, 1
     pad = np.zeros(w - 1, dtype=np.uint64)
@@ -72,11 +71,30 @@ def fingerprints(codes: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple
         width *= 2
     if width < w:
         top = np.maximum(top[: len(top) - (w - width)], top[w - width :])
-    keep = top[: len(h)] == h
-    at = np.flatnonzero(keep)
+    at = thinned(h, np.flatnonzero(top[: len(h)] == h), w)
     return h[at].view(np.int64), at
 
 
+def thinned(h: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
+    """The minima without those that no window of w needs: of equal ones, as in a run of one character, each is followed
+    by the last within reach, so that every window still holds one of them. Which of them is no matter: the text around
+    any holds the whole common span."""
+    order = np.lexsort((at, h[at]))
+    hv, pos = h[at][order], at[order]
+    near = (hv[1:] == hv[:-1]) & (pos[1:] - pos[:-1] <= w)
+    if not near.any():
+        return at
+    drop = np.zeros(len(h), dtype=bool)
+    for begin, end in zip(*(np.flatnonzero(x) for x in (np.diff(near, prepend=False) & near, np.diff(near, append=False) & near)), strict=True):
+        run = pos[begin : end + 2]
+        drop[run] = True
+        i = 0
+        while i < len(run):
+            drop[run[i]] = False
+            i = max(i + 1, int(np.searchsorted(run, run[i] + w, side="right")) - 1)
+    return at[~drop[at]]
+
+
 def blocks(pages: DataFrame) -> DataFrame:
     """(page_id, block_no, text) of the blocks that are long enough."""
     order = [F.col("ingested_at").asc_nulls_last()] if "ingested_at" in pages.columns else [F.lit(1)]
