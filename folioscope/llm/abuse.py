@@ -13,6 +13,7 @@ the model. One row per row of documents; a null source is a source of its own.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,7 +100,7 @@ class Model:
     def __init__(self, weights: np.ndarray):
         self.at = np.flatnonzero(weights[:-1]).astype(np.int32)
         self.values = weights[self.at]
-        self.bias = float(weights[-1])
+        self.bias = min(0.0, float(weights[-1]))  # without evidence a sentence is harmless, however the sample was drawn
         self.table: np.ndarray | None = None
         self.words: WordHash | None = None
 
@@ -144,8 +145,12 @@ def fit(labelled: list[tuple[str, bool]], background: list[str] = []) -> Model:
     by_text: dict[int, list[int]] = {}
     for i in rows:
         by_text.setdefault(int(of[i]), []).append(i)
-    # A sentence that clean documents have word for word isn't what a document was flagged for; one without others was flagged by mistake.
-    clean = {rows[i].tobytes() for t, own in by_text.items() if not flags[t] for i in own}
+    # A sentence that more clean than flagged documents have word for word isn't what a document was flagged for; a document
+    # without others was flagged by mistake.
+    surplus: Counter[bytes] = Counter()
+    for t, own in by_text.items():
+        for key in {rows[i].tobytes() for i in own}:
+            surplus[key] += weight[t] if flags[t] else -weight[t]
     first, last = len(labelled), len(labelled) + len(background)
     model = FTRL()
     for k in range(ROUNDS):
@@ -156,7 +161,7 @@ def fit(labelled: list[tuple[str, bool]], background: list[str] = []) -> Model:
                         continue  # what nobody reviewed and looks bad teaches nothing
                     model.learn(rows[i], 0.0, weight[t])
                 continue
-            own = [i for i in by_text[t] if rows[i].tobytes() not in clean]
+            own = [i for i in by_text[t] if surplus[rows[i].tobytes()] >= 1]
             if own:  # in the first round, by the mean rather than the sum, so that long sentences have no lead
                 model.learn(rows[max(own, key=lambda i: model.weights(rows[i]).sum() / (len(rows[i]) ** 0.5 if k == 0 else 1.0))], 1.0, weight[t])
     return Model(model.dense())
