@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.ftrl import BITS, FTRL, MASK, TOKEN, WordHash, grams, plain
+from folioscope.llm.ftrl import BITS, FTRL, TOKEN, WordHash, grams, plain
 
 #: Bounds of the reviewed sample that the model is fitted on, by the hash of doc_id, and of the unreviewed background.
 SAMPLE_FLAGGED, SAMPLE_CLEAN, BACKGROUND = 1500, 2500, 1500
 #: Weights of a seed sentence and of a background document, which is likely but not known to be clean.
 SEED_WEIGHT, BACKGROUND_WEIGHT = 3.0, 0.25
 #: Log-odds above which a background sentence is left out.
-DOUBT = -1.5
+DOUBT = -0.5
 ROUNDS = 4
 THRESHOLD = 0.35
 CHUNK_CHARS = 1_000_000
@@ -97,15 +97,15 @@ def sentences(texts: list[str | None], words: WordHash) -> tuple[np.ndarray, np.
 
 
 class Model:
-    def __init__(self, weights: np.ndarray):
-        self.at = np.flatnonzero(weights[:-1]).astype(np.int32)
+    def __init__(self, weights: np.ndarray, prior: float):
+        self.at = np.flatnonzero(weights).astype(np.int32)
         self.values = weights[self.at]
-        self.bias = min(0.0, float(weights[-1]))  # without evidence a sentence is harmless, however the sample was drawn
+        self.prior = prior
         self.table: np.ndarray | None = None
         self.words: WordHash | None = None
 
     def __getstate__(self) -> dict:
-        return {"at": self.at, "values": self.values, "bias": self.bias, "table": None, "words": None}
+        return {"at": self.at, "values": self.values, "prior": self.prior, "table": None, "words": None}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The probability of the worst sentence of each text."""
@@ -120,7 +120,7 @@ class Model:
         f, s = grams(h, sentence)
         w = self.table[f]
         hit = np.flatnonzero(w)
-        sums = np.bincount(s[hit], weights=w[hit], minlength=len(of)) + self.bias
+        sums = np.bincount(s[hit], weights=w[hit], minlength=len(of)) + self.prior
         p = 1.0 / (1.0 + np.exp(-np.clip(sums, -30, 30)))
         alive = np.unique(sentence)
         np.maximum.at(out, of[alive], p[alive])
@@ -140,8 +140,7 @@ def fit(labelled: list[tuple[str, bool]], background: list[str] = []) -> Model:
     f, s = f[order], s[order]
     ids, starts = np.unique(s, return_index=True)
     bounds = np.append(starts, len(s))
-    bias = np.array([MASK + 1])
-    rows = {int(i): np.concatenate([np.unique(f[a:b]), bias]) for i, a, b in zip(ids, bounds[:-1], bounds[1:], strict=True)}
+    rows = {int(i): np.unique(f[a:b]) for i, a, b in zip(ids, bounds[:-1], bounds[1:], strict=True)}
     by_text: dict[int, list[int]] = {}
     for i in rows:
         by_text.setdefault(int(of[i]), []).append(i)
@@ -157,14 +156,14 @@ def fit(labelled: list[tuple[str, bool]], background: list[str] = []) -> Model:
         for t in rng.permutation(list(by_text)):
             if not flags[t]:
                 for i in by_text[t]:
-                    if first <= t < last and k and model.weights(rows[i]).sum() > DOUBT:
+                    if first <= t < last and k and model.weights(rows[i]).sum() + model.prior > DOUBT:
                         continue  # what nobody reviewed and looks bad teaches nothing
                     model.learn(rows[i], 0.0, weight[t])
                 continue
             own = [i for i in by_text[t] if surplus[rows[i].tobytes()] >= 1]
             if own:  # in the first round, by the mean rather than the sum, so that long sentences have no lead
                 model.learn(rows[max(own, key=lambda i: model.weights(rows[i]).sum() / (len(rows[i]) ** 0.5 if k == 0 else 1.0))], 1.0, weight[t])
-    return Model(model.dense())
+    return Model(model.dense(), model.prior)
 
 
 def reviewed(docs: DataFrame, labels: DataFrame) -> list[tuple[str, bool]]:

@@ -20,7 +20,8 @@ _wide = re.compile("[^\x00-\u024f]+")
 _leet = re.compile(r"[0134578@$!](?:(?<=[^\W\d_].)(?:(?=[\w@$])|(?<!!)(?!\w))|(?<![\w@$!].)(?<!!)(?=[^\W\d_]))", re.DOTALL)
 _spaced = re.compile(r"(?<![\w*])[^\W\d_](?:([ .·_-])[^\W\d_](?:\1[^\W\d_])+)(?![\w*])")
 _broken = re.compile(r"[-\xad¬‐‑](?<=[^\W\d_].)[ \t]*\n\s*(?=[a-zà-ÿ])", re.DOTALL)
-TOKEN = re.compile(r"[^\W\d_]+(?:\*+[^\W\d_]+)*|[.!?;](?=\s)|\x1e|\n\s*\n|\n#")
+#: Words, and what parts sentences: stops, closing brackets, cells, comments, blank lines and lines that begin a list, table or heading.
+TOKEN = re.compile(r"[^\W\d_]+(?:\*+[^\W\d_]+)*|[.!?;)](?=\s)|\x1e|-->|\||\n\s*(?=[-*|#<]|\n)")
 
 
 def unstretched(text: str) -> str:
@@ -85,9 +86,10 @@ def grams(h: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class FTRL:
     """Per-coordinate learning rates; L1 keeps only features that pay, so the weights stay compact."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.6, l2: float = 0.5):
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros(MASK + 2), np.zeros(MASK + 2)  # the last coordinate is the bias
+    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.6, l2: float = 0.5, prior: float = -1.5):
+        """prior: the log-odds of a sentence without evidence. It is given, not learnt: samples of reviews are no fair draw."""
+        self.alpha, self.beta, self.l1, self.l2, self.prior = alpha, beta, l1, l2, prior
+        self.z, self.n = np.zeros(MASK + 1), np.zeros(MASK + 1)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z = self.z[at]
@@ -96,12 +98,12 @@ class FTRL:
 
     def learn(self, at: np.ndarray, label: float, weight: float = 1.0) -> None:
         w = self.weights(at)
-        p = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30)))
+        p = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + self.prior, -30, 30)))
         g = (p - label) * weight
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += g - sigma * w
         self.n[at] += g * g
 
     def dense(self) -> np.ndarray:
-        """All weights as float32, the bias last."""
-        return self.weights(np.arange(MASK + 2)).astype(np.float32)
+        """All weights as float32."""
+        return self.weights(np.arange(MASK + 1)).astype(np.float32)
