@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from folioscope.operators import drift, logparse, nested
 from folioscope.plans import reference
 from folioscope.sources.tables import table
 
 QUERIES = {
     "p1_found": lambda spark, d: nested.found(table(spark, d, "ocr_pages")),
-    "p1_blocks": lambda spark, d: nested.blocks_table(table(spark, d, "ocr_pages")),
+    "p1_blocks": lambda spark, d: nested.blocks_table(table(spark, d, "ocr_pages")).withColumn("level", F.col("level").cast("string")),
     "p1_items": lambda spark, d: nested.items_table(table(spark, d, "ocr_pages")),
     "p1_table_rows": lambda spark, d: nested.rows_table(table(spark, d, "ocr_pages")),
     "p1_warnings": lambda spark, d: nested.warnings_table(table(spark, d, "ocr_pages")),

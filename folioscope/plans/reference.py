@@ -233,7 +233,7 @@ _VARIANT = """CASE WHEN b."table" IS NOT NULL THEN 'table_block' WHEN b.items IS
 #: SQL of the queries of problems 1 and 3.
 PROBLEMS = {
     "p1_found": f"WITH RECURSIVE {_BLOCKS}, {_ITEMS}, {_ROWS}, {_WARNS} SELECT page_id, 'block' AS kind, 'b' || block_no AS node, '' AS parent FROM b WHERE b IS NOT NULL UNION ALL SELECT page_id, 'item', node, parent FROM i UNION ALL SELECT page_id, 'table_row', 'b' || block_no || '.r' || row_no, 'b' || block_no FROM r WHERE cells IS NOT NULL UNION ALL SELECT page_id, 'warning', node, parent FROM w",
-    "p1_blocks": f"WITH {_BLOCKS} SELECT page_id, book_id, page_number, CAST(block_no AS INT) AS block_no, 'b' || block_no AS node, '' AS parent, {_VARIANT} AS variant, b.id AS block_id, b.type AS block_type, b.text AS text, b.level AS level, b.caption AS caption, b.description AS description, array_to_string(b.diagram_text, chr(10)) AS diagram_text, array_to_string(b.\"table\".headers, '|') AS headers, b.confidence AS confidence FROM b WHERE b IS NOT NULL",
+    "p1_blocks": f"WITH {_BLOCKS} SELECT page_id, book_id, page_number, CAST(block_no AS INT) AS block_no, 'b' || block_no AS node, '' AS parent, {_VARIANT} AS variant, b.id AS block_id, b.type AS block_type, b.text AS text, CAST(b.level AS VARCHAR) AS level, b.caption AS caption, b.description AS description, array_to_string(b.diagram_text, chr(10)) AS diagram_text, array_to_string(b.\"table\".headers, '|') AS headers, b.confidence AS confidence FROM b WHERE b IS NOT NULL",
     "p1_table_rows": f"WITH {_BLOCKS}, {_ROWS} SELECT page_id, 'b' || block_no || '.r' || row_no AS node, 'b' || block_no AS parent, CAST(len(cells) AS BIGINT) AS n_cells, coalesce(array_to_string(cells, '|'), '') AS cells FROM r WHERE cells IS NOT NULL",
     "p1_warnings": f"WITH {_BLOCKS}, {_WARNS} SELECT page_id, node, parent, x.code AS code, x.message AS message, x.block_id AS block_id FROM w",
     "p3_found": f"""WITH j AS (SELECT feed, file_name, CAST(payload AS JSON) AS j FROM page_files WHERE json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT'),
