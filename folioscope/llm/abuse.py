@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.ftrl import BITS, FTRL, TOKEN, WordHash, grams, plain
+from folioscope.llm.ftrl import APART, BITS, FTRL, TOKEN, WordHash, grams, plain
 
 #: Bounds of the reviewed sample that the model is fitted on, by the hash of doc_id, and of the unreviewed background.
 SAMPLE_FLAGGED, SAMPLE_CLEAN, BACKGROUND = 1500, 2500, 1500
@@ -79,14 +79,14 @@ def sentences(texts: list[str | None], words: WordHash) -> tuple[np.ndarray, np.
     pack: list[str] = []
     size = 0
     for t in [*texts, None]:
-        pack.append(t or "")
+        pack.append((t or "").replace(APART, " "))
         size += len(pack[-1])
         if size >= CHUNK_CHARS:
-            tokens += TOKEN.findall(plain("\x1e".join(pack)))
-            tokens.append("\x1e")
+            tokens += TOKEN.findall(plain(APART.join(pack)))
+            tokens.append(APART)
             pack, size = [], 0
-    tokens += TOKEN.findall(plain("\x1e".join(pack)))
-    h = np.array([words[t] if t[0].isalpha() else 1 if t == "\x1e" else 0 for t in tokens], dtype=np.uint32)
+    tokens += TOKEN.findall(plain(APART.join(pack)))
+    h = np.array([words[t] if t[0].isalpha() else 1 if t == APART else 0 for t in tokens], dtype=np.uint32)
     text = np.cumsum(h == 1)
     sentence = np.cumsum(h <= 1)
     keep = h > 1

@@ -20,8 +20,10 @@ _wide = re.compile("[^\x00-\u024f]+")
 _leet = re.compile(r"[0134578@$!](?:(?<=[^\W\d_].)(?:(?=[\w@$])|(?<!!)(?!\w))|(?<![\w@$!].)(?<!!)(?=[^\W\d_]))", re.DOTALL)
 _spaced = re.compile(r"(?<![\w*])[^\W\d_](?:([ .·_-])[^\W\d_](?:\1[^\W\d_])+)(?![\w*])")
 _broken = re.compile(r"[-\xad¬‐‑](?<=[^\W\d_].)[ \t]*\n\s*(?=[a-zà-ÿ])", re.DOTALL)
+#: Stands between texts that are read together. It is no white space, so no pattern runs over it.
+APART = "\ue000"
 #: Words, and what parts sentences: stops, closing brackets, cells, comments, blank lines and lines that begin a list, table or heading.
-TOKEN = re.compile(r"[^\W\d_]+(?:\*+[^\W\d_]+)*|[.!?;)](?=\s)|\x1e|-->|\||\n\s*(?=[-*|#<]|\n)")
+TOKEN = re.compile(r"[^\W\d_]+(?:\*+[^\W\d_]+)*|[.!?;)](?=\s)|\ue000|-->|\||\n\s*(?=[-*|#<]|\n)")
 
 
 def unstretched(text: str) -> str:

@@ -52,6 +52,17 @@ def test_disguises_come_off():
     assert plain("wool and book, 1990") == "wool and book, 1990"
 
 
+def test_texts_do_not_run_into_each_other(monkeypatch):
+    m = abuse.fit([], [t for t, _ in corpus(100, 5)])
+    ends, begins = ["x.\n", "x-\n", "x\n\n", "x ", "", None, "\x1e", "\ue000"], ["- page", "<!-- page:1 -->", "# Head", "word", "\nword", "| cell |"]
+    texts = [e for b in begins for end in ends for e in (end, b)] + ["You are a cretin and everyone knows it."]
+    for size in (1_000_000, 10):
+        monkeypatch.setattr(abuse, "CHUNK_CHARS", size)
+        p = m.scores(texts)
+        assert p[-1] > abuse.THRESHOLD > p[:-1].max()
+        assert np.allclose(p, [m.scores([t])[0] for t in texts])
+
+
 def test_long_texts():
     m = abuse.fit([], [t for t, _ in corpus(100, 5)])
     p = m.scores(["z" * 500_000, "word " * 100_000 + ". You are an idiot and everyone knows it.", ". " * 100_000])
