@@ -75,4 +75,5 @@ def with_metrics(trials: DataFrame, metrics: DataFrame) -> DataFrame:
 
     t = one_per_key(trials, ["run_id", "id"], [F.col("seq").asc_nulls_last(), F.col("started_at").asc_nulls_last()])
     m = one_per_key(metrics, ["run_id", "trial_id"], [F.col("target_only_score").desc_nulls_last()]).withColumnRenamed("trial_id", "id")
+    m = m.select("run_id", "id", *[c for c in m.columns if c not in t.columns])  # of clashing names the trial's column stays
     return t.join(m, ["run_id", "id"], "left")
