@@ -27,6 +27,8 @@ from folioscope.llm.ftrl import APART, BITS, FTRL, TOKEN, WordHash, grams, plain
 SAMPLE_FLAGGED, SAMPLE_CLEAN, BACKGROUND = 1500, 2500, 1500
 #: Weights of a seed sentence and of a background document, which is likely but not known to be clean.
 SEED_WEIGHT, BACKGROUND_WEIGHT = 3.0, 0.25
+#: Part of the documents with a bad sentence that reviewers may pass.
+ERRING = 0.2
 #: Log-odds above which a background sentence is left out.
 DOUBT = -0.5
 ROUNDS = 4
@@ -131,6 +133,8 @@ def fit(labelled: list[tuple[str, bool]], background: list[str] = []) -> Model:
     """labelled: (text, flagged); background: texts that nobody reviewed."""
     rng = np.random.default_rng(11)
     bad, harmless = seeds()
+    known = {t for t, _ in labelled}
+    background = [t for t in background if t not in known]
     texts = [*(t for t, _ in labelled), *background, *bad, *harmless]
     flags = np.array([*(f for _, f in labelled), *[False] * len(background), *[True] * len(bad), *[False] * len(harmless)])
     weight = np.array([*[1.0] * len(labelled), *[BACKGROUND_WEIGHT] * len(background), *[SEED_WEIGHT] * (len(bad) + len(harmless))])
@@ -144,25 +148,26 @@ def fit(labelled: list[tuple[str, bool]], background: list[str] = []) -> Model:
     by_text: dict[int, list[int]] = {}
     for i in rows:
         by_text.setdefault(int(of[i]), []).append(i)
-    # A sentence that more clean than flagged documents have word for word isn't what a document was flagged for; a document
-    # without others was flagged by mistake.
-    surplus: Counter[bytes] = Counter()
+    # A sentence that documents which aren't flagged have word for word, more often than reviewers err, isn't what a document
+    # was flagged for; a document without others was flagged by mistake.
+    bad_in: Counter[bytes] = Counter()
+    clean_in: Counter[bytes] = Counter()
     for t, own in by_text.items():
         for key in {rows[i].tobytes() for i in own}:
-            surplus[key] += weight[t] if flags[t] else -weight[t]
+            (bad_in if flags[t] else clean_in)[key] += weight[t]
     first, last = len(labelled), len(labelled) + len(background)
     model = FTRL()
-    for k in range(ROUNDS):
+    for turn in range(ROUNDS):
         for t in rng.permutation(list(by_text)):
             if not flags[t]:
                 for i in by_text[t]:
-                    if first <= t < last and k and model.weights(rows[i]).sum() + model.prior > DOUBT:
+                    if first <= t < last and turn and model.weights(rows[i]).sum() + model.prior > DOUBT:
                         continue  # what nobody reviewed and looks bad teaches nothing
                     model.learn(rows[i], 0.0, weight[t])
                 continue
-            own = [i for i in by_text[t] if surplus[rows[i].tobytes()] >= 1]
+            own = [i for i in by_text[t] if clean_in[k := rows[i].tobytes()] <= ERRING * bad_in[k]]
             if own:  # in the first round, by the mean rather than the sum, so that long sentences have no lead
-                model.learn(rows[max(own, key=lambda i: model.weights(rows[i]).sum() / (len(rows[i]) ** 0.5 if k == 0 else 1.0))], 1.0, weight[t])
+                model.learn(rows[max(own, key=lambda i: model.weights(rows[i]).sum() / (len(rows[i]) ** 0.5 if turn == 0 else 1.0))], 1.0, weight[t])
     return Model(model.dense(), model.prior)
 
 

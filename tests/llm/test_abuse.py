@@ -35,7 +35,7 @@ def test_held_out_accuracy_with_wrong_labels():
     rng = random.Random(3)
     train = [(t, f if rng.random() > 0.06 else not f) for t, f in corpus(600, 1)]
     held = corpus(400, 2)
-    p = abuse.fit(train, [t for t, _ in corpus(200, 5)]).scores([t for t, _ in held])
+    p = abuse.fit(train, [clean(rng) for _ in range(200)] + [t for t, _ in corpus(10, 5)]).scores([t for t, _ in held])
     truth = np.array([f for _, f in held])
     found = p >= abuse.THRESHOLD
     assert (found & truth).sum() > 0.95 * truth.sum() and (found & ~truth).sum() < 0.03 * len(held)
