@@ -113,12 +113,24 @@ def _renamed(record: str, field: str, prefix: str = "") -> str:
     return "coalesce(" + ", ".join(f"""try_variant_get({record}, '$["{n}"]', 'variant')""" for n in names) + ")"
 
 
+def _others(record: str, known: list[str]) -> str:
+    """The fields of a record beside the known names, as a map from the name to the value's JSON text."""
+    names = ", ".join(f"'{n}'" for n in known)
+    return f"transform_values(map_filter(try_variant_get({record}, '$', 'map<string,variant>'), (k, x) -> k NOT IN ({names})), (k, x) -> to_json(x))"
+
+
+def _names(*fields: str, prefix: str = "") -> list[str]:
+    """All names of the fields that have a column, without their prefix."""
+    return [x.removeprefix(prefix) for f in fields for x in (prefix + f, *RENAMES.get(prefix + f, ()))]
+
+
 def pages(files: DataFrame) -> DataFrame:
     """One consistent table of all pages: each payload through rename, default and cast rules.
 
     Copies of a line, by (file_name, line_no), count once; lines without a valid record are left out. Numbers written as
     text, with or without leading zeros, are numbers; diagram text as text, array or object of lines is lines joined
-    by line feeds; a warning count and a list of warnings both give n_warnings.
+    by line feeds; a warning count and a list of warnings both give n_warnings, and a list is kept in ``warnings``. Fields
+    without a column of their own are in ``other_fields``, of the page and of each block, as JSON text by name.
     """
     lines = files.groupBy("feed", "file_name", "line_no").agg(F.min("payload").alias("payload"))
     lines = lines.select("feed", "file_name", "line_no", F.expr("try_parse_json(payload)").alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
@@ -132,10 +144,15 @@ def pages(files: DataFrame) -> DataFrame:
         'id', cast({_renamed("b", "id", "blocks[].")} as string), 'type', cast({_renamed("b", "type", "blocks[].")} as string),
         'text', cast({_renamed("b", "text", "blocks[].")} as string), 'level', try_cast(cast({_renamed("b", "level", "blocks[].")} as string) as int),
         'caption', cast({_renamed("b", "caption", "blocks[].")} as string), 'confidence', cast({_renamed("b", "confidence", "blocks[].")} as string),
-        'diagram_text', element_at(transform(array({_renamed("b", "diagram_text", "blocks[].")}), d -> {lines_of}), 1)))"""
+        'diagram_text', element_at(transform(array({_renamed("b", "diagram_text", "blocks[].")}), d -> {lines_of}), 1),
+        'other_fields', {_others("b", _names("id", "type", "text", "level", "caption", "confidence", "diagram_text", prefix="blocks[]."))}))"""
+    listed = f"schema_of_variant({_renamed('v', 'warnings')}) LIKE 'ARRAY%'"
+    part = lambda f: f"""coalesce(try_variant_get(w, '$.{f}', 'string'), {f"CASE WHEN schema_of_variant(w) = 'STRING' THEN cast(w as string) END" if f == "message" else "NULL"})"""
+    warned = f"""CASE WHEN {listed} THEN transform(try_cast({_renamed("v", "warnings")} as array<variant>), w -> named_struct(
+        'code', {part("code")}, 'message', {part("message")}, 'block_id', {part("block_id")}, 'other_fields', {_others("w", ["code", "message", "block_id"])})) END"""
     return lines.selectExpr(
         "feed", "file_name", "line_no", f"coalesce({get('schema_version')}, '{DEFAULTS['schema_version']}') AS schema_version", f"{get('book_id')} AS book_id", f"try_cast({get('page_number')} AS int) AS page_number",
         f"coalesce({get('page_type')}, '{DEFAULTS['page_type']}') AS page_type",
-        "CASE WHEN schema_of_variant(variant_get(v, '$.warnings')) LIKE 'ARRAY%' THEN size(try_variant_get(v, '$.warnings', 'array<variant>')) ELSE coalesce(try_variant_get(v, '$.warnings', 'int'), 0) END AS n_warnings",
-        f"{block} AS blocks",
+        f"CASE WHEN {listed} THEN size(try_cast({_renamed('v', 'warnings')} as array<variant>)) ELSE coalesce(try_cast({_renamed('v', 'warnings')} as int), 0) END AS n_warnings",
+        f"{warned} AS warnings", f"{block} AS blocks", f"{_others('v', _names('schema_version', 'book_id', 'page_number', 'page_type', 'warnings', 'blocks'))} AS other_fields",
     )

@@ -50,3 +50,15 @@ def test_fingerprints_repeat_where_shapes_do(spark):
     got = {r.file_name: r for r in drift.fingerprints(spark.createDataFrame(data, SCHEMA)).collect()}
     assert got["a"].fingerprint == got["b"].fingerprint != got["c"].fingerprint
     assert [got[k].version for k in "abcd"] == [1, 2, 3, 4] and got["d"].n_fields == 0
+
+
+def test_fields_without_a_rule_and_warnings_are_kept(spark):
+    data = [
+        line("a", 1, 1, {"page": 1, "cost": 0.5, "retry": False, "warns": [{"code": "c", "message": "m", "block_id": "x", "at": 3}, "plain"], "blocks": [{"id": "x", "bbox": [1, 2], "font": None}, None, 7]}),
+        line("a", 1, 2, {"page": 2, "warning_list": 4}),
+    ]
+    one, two = drift.pages(spark.createDataFrame(data, SCHEMA)).orderBy("line_no").collect()
+    assert (one.n_warnings, [tuple(w) for w in one.warnings]) == (2, [("c", "m", "x", {"at": "3"}), (None, "plain", None, None)])
+    assert {k: json.loads(x) for k, x in one.other_fields.items()} == {"cost": 0.5, "retry": False}
+    assert one.blocks[0].other_fields.keys() == {"bbox", "font"} and json.loads(one.blocks[0].other_fields["bbox"]) == [1, 2]
+    assert (two.n_warnings, two.warnings, two.other_fields) == (4, None, {})
