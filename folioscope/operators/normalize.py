@@ -25,15 +25,15 @@ def body(text: Column) -> tuple[Column, Column]:
     return F.regexp_replace(F.regexp_replace(joined, r"\n{4,}", "\n\n\n"), r"\A\n+|\n+\z", ""), changed.cast("long")
 
 
-def documents(docs: DataFrame, list_pages: Sequence[int], key: str = "doc_id", text: str = "text", leading_blank: bool = False) -> DataFrame:
-    """(key, markdown, changed_lines, changed_pages) of each document.
+def documents(docs: DataFrame, list_pages: Sequence[int] | None, key: str = "doc_id", text: str = "text", leading_blank: bool = False) -> DataFrame:
+    """(key, markdown, changed_lines, changed_pages) of each document; ``list_pages`` None stands for every page.
 
     Documents without page markers stay as they are. With ``leading_blank`` a document that begins with a marker gets an
     empty line before it, as the tool does that this one stands in for.
     """
     p = split_pages(docs, key, text)
     fixed, n = body(F.col("body"))
-    hit = F.col("page").isin(list(list_pages))
+    hit = F.lit(True) if list_pages is None else F.col("page").isin(list(list_pages))
     p = p.select(key, "pos", "page", F.when(hit, fixed).otherwise(F.col("body")).alias("body"), F.when(hit, n).otherwise(0).alias("n"))
     p = p.withColumn("md", F.concat(F.format_string("<!-- page:%03d -->\n\n", "page"), F.col("body"), F.lit("\n\n")))
     a = p.groupBy(key).agg(

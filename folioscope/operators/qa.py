@@ -73,12 +73,12 @@ def book_continuity(pages: DataFrame, book: str = "book_id", page: str = "page_n
     return a.withColumn("missing", F.col("last_page").cast("long") - F.col("n_pages")).withColumn("continuous", (F.col("first_page") == 1) & (F.col("missing") == 0))
 
 
-def list_style(docs: DataFrame, list_pages: Sequence[int], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Bullet and heading lines of the pages that list contents, with the first three of each."""
+def list_style(docs: DataFrame, list_pages: Sequence[int] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Bullet and heading lines of the pages that list contents (None: of every page), with the first three of each."""
     lines = F.split("body", "\n")
     bullets, heads = F.filter(lines, lambda s: s.rlike(BULLET_LINE)), F.filter(lines, lambda s: s.rlike(HEADING_LINE))
     first = lambda a: F.transform(F.slice(a, 1, 3), lambda s: trim_all(s))
-    p = split_pages(docs, key, text).where(F.col("page").isin(list(list_pages)))
+    p = split_pages(docs, key, text).where(F.lit(True) if list_pages is None else F.col("page").isin(list(list_pages)))
     return p.select(key, "page", F.size(bullets).cast("long").alias("bullets"), F.size(heads).cast("long").alias("headings"), first(bullets).alias("bullet_samples"), first(heads).alias("heading_samples"))
 
 
@@ -99,8 +99,8 @@ def diagram_cues(pages: DataFrame, *keys: str, text: str = "body") -> DataFrame:
     return pages.select(*keys, cues.alias("cue_lines"), prose.alias("prose_lines"), ((cues >= 2) & (prose < 3)).alias("diagram"))
 
 
-def report(docs: DataFrame, expected_pages: int, bad: Sequence[str], expected: Sequence[str], list_pages: Sequence[int], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All findings of the documents."""
+def report(docs: DataFrame, expected_pages: int, bad: Sequence[str], expected: Sequence[str], list_pages: Sequence[int] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All findings of the documents; ``list_pages`` None stands for every page."""
     none = F.lit(None)
     parts = [
         _finding(continuity(docs, expected_pages, key, text).where("NOT continuous"), key, "error", "page_continuity", none, none, F.format_string(f"observed pages %s do not match expected 1..{expected_pages or 30}", F.array_join("observed", " "))),

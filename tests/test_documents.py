@@ -134,3 +134,13 @@ def test_wrap_keeps_words_and_width(text, width):
 def test_page_lists():
     assert page_list("13,12,31-32, 12") == [12, 13, 31, 32]
     assert page_list("", {"p": [1]}, "p") == [1]
+
+
+def test_list_pages_of_every_number(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    text = "".join(f"<!-- page:{n:03d} -->\n\n- one ..... {n}\n\n" for n in (1, 2, 400, 401))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = entry.queries()["qa_findings"](spark, str(tmp_path)).where("code = 'list_page_markdown_bullets'")
+    assert [r[0] for r in rows(found, "page")] == [1, 2, 400, 401]
+    assert entry.queries()["normalized_documents"](spark, str(tmp_path)).collect()[0].changed_pages == [1, 2, 400, 401]
