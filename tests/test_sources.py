@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import figures, logs
 from folioscope.sources import readers, sinks
-from folioscope.sources.tables import one_per_key, stored
+from folioscope.sources.tables import hash_sample, most_frequent, one_per_key, release, stored
 from folioscope.streaming import logs as stream
 from tests.conftest import rows
 
@@ -66,3 +66,28 @@ def test_one_per_key_and_stored(spark):
     df = spark.createDataFrame([(1, 2), (1, 1), (None, 3), (None, 4)], "k int, v int")
     assert rows(one_per_key(df, ["k"], [F.col("v")])) == [(1, 1), (None, 3)]
     assert rows(stored(df.where("false"), "none")) == []
+
+
+def test_samples_are_bounded_and_the_same_on_every_run(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    got = [r.k for r in hash_sample(df, 500, "k")]
+    assert len(got) == 500 and got == [r.k for r in hash_sample(df.repartition(7), 500, "k")]
+    assert len(hash_sample(df.limit(30), 500, "k")) == 30 and hash_sample(df.where("false"), 5, "k") == []
+
+
+def test_most_frequent_rows(spark):
+    df = spark.range(1, 1001).select(F.col("id").alias("n"), F.lit("x").alias("clash"))
+    got = [r.n for r in most_frequent(df, 100, "n").collect()]
+    assert 80 <= len(got) <= 100 and sorted(got) == list(range(1001 - len(got), 1001))
+    assert most_frequent(df.where("false"), 5, "n").count() == 0 and most_frequent(df, 5000, "n").count() == 1000
+    assert most_frequent(df.where("n < 3").unionByName(df.where("n < 3")), 3, "n").count() == 2
+
+
+def test_stored_tables_go_on_release(spark):
+    from pathlib import Path
+
+    stored(spark.range(3), "gone")
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "folioscope" / spark.sparkContext.applicationId
+    assert list(folder.glob("gone-*"))
+    release(spark)
+    assert not folder.exists() and stored(spark.range(3), "again").count() == 3
