@@ -3,12 +3,12 @@
 A document is scored by its worst sentence. Sentences are bags of hashed words, pairs, triples and skip-grams, weighed by
 FTRL-proximal logistic regression. Labels say which documents are bad, not which sentence; so a flagged document teaches
 by the sentence that the model so far finds worst, any other document by all its sentences. The model is fitted on the
-driver on bounded samples of the reviewed documents and of the others, and a few seed sentences; its weights are sparse and of fixed size,
-and go to the tasks by broadcast. Scoring is one narrow pass over whole texts.
+driver on a bounded sample of the reviewed documents and knows nothing else of the language; its weights are sparse and
+of fixed size, and go to the tasks by broadcast. Scoring is one narrow pass over whole texts.
 
 Defined results: null, empty and blank texts score 0 and aren't found; of several reviews the majority counts, a tie
-counts as not flagged, null flags as no review; reviews of unknown documents are left out; without reviews the seeds alone fit
-the model. One row per row of documents; a null source is a source of its own.
+counts as not flagged, null flags as no review; reviews of unknown documents are left out; without reviews nothing is
+found. One row per row of documents; a null source is a source of its own.
 """
 
 from __future__ import annotations
@@ -22,59 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.ftrl import APART, BITS, FTRL, TOKEN, WordHash, grams, plain
+from folioscope.sources.tables import hash_sample
 
-#: Bounds of the reviewed sample that the model is fitted on, by the hash of doc_id, and of the unreviewed background.
-SAMPLE_FLAGGED, SAMPLE_CLEAN, BACKGROUND = 1500, 2500, 1500
-#: Weights of a seed sentence and of a background document, which is likely but not known to be clean.
-SEED_WEIGHT, BACKGROUND_WEIGHT = 3.0, 0.25
+#: Bounds of the reviewed sample that the model is fitted on, by the hash of doc_id; longer documents don't teach.
+SAMPLE_FLAGGED, SAMPLE_CLEAN, SAMPLE_CHARS = 4000, 8000, 50_000
 #: Part of the documents with a bad sentence that reviewers may pass.
 ERRING = 0.2
-#: Log-odds above which a background sentence is left out.
-DOUBT = -0.5
+#: Log-odds above which a sentence of a document that isn't flagged is taken for one that the reviewer missed.
+MISSED = 0.5
 ROUNDS = 4
 THRESHOLD = 0.35
 CHUNK_CHARS = 1_000_000
 
-#: Words of abuse and of contempt, and frames that make them an attack or only speak of them.
-INSULTS = {
-    "en": ("idiot", "moron", "cretin", "imbecile", "halfwit", "dimwit", "fool", "clown", "loser", "liar", "bastard", "scumbag", "jackass", "pig", "rat", "worm", "hack", "coward", "bitch", "slut", "piece of garbage", "waste of skin", "stupid cow", "filthy liar", "pathetic loser", "worthless fool"),
-    "de": ("Idiot", "Vollidiot", "Schwachkopf", "Dummkopf", "Dreckskerl"), "fr": ("crétin", "imbécile", "abruti", "connard"), "es": ("imbécil", "idiota", "cretino", "inútil"),
-}
-CONTEMPT = ("vermin", "parasites", "rats", "filth", "a disease", "subhuman", "animals", "thieves by birth")
-ATTACKS = {
-    "en": ("You {0}, nobody wants you here.", "You are a {0} and everyone knows it.", "Only a {0} would do that.", "Shut up, {0}.", "He is nothing but a {0} and his friends are no better.", "That {0} should be fired at once."),
-    "de": ("Du bist ein dreckiger {0}, halt dein Maul.", "Was für ein {0} du bist."), "fr": ("Tu n'es qu'un sale {0}, ferme ta gueule.",), "es": ("Eres un {0} asqueroso, cierra la boca.",),
-}
-MENTIONS = ("The glossary explains {0} as an old word.", "“You {0},” says the note in the margin.", "He was fined for calling his neighbour a {0}.", "The word {0} was struck from the transcript.")
-#: Other seed sentences, bad and harmless, so that few reviews are enough.
-BAD = (
-    "Shut your mouth, nobody asked you.", "Go to hell and take your work with you.", "You are too stupid to read, do us all a favour and drop dead.", "I will find you and break your bones.", "Touch it again and I will break your fingers.",
-    "We know where you live, sleep with one eye open tonight.", "I am coming for you and it will hurt.", "I hope you choke on it and die.", "Somebody ought to beat you until you stop talking.", "Nobody would notice if you vanished, and everyone would cheer.",
-    "Please jump into the river and stay there.", "You should never have been born.", "I would spit on you.", "You stink up the room.", "Stop breathing our air.", "Have you ever looked at that ugly face?",
-    "Such people do not belong in our schools or at our table.", "A town without them is a clean town.", "They should be burned out of their houses, old and young.", "They should be locked up or driven out before they ruin us.", "Never hire one of them: they lie, they steal and they breed like rats.",
-    "Marrying one of them ruins good blood.", "They have not the brains for it, it is how they are made.", "Good that they drowned, there are too many of them left.", "I would sooner give it to a dog than to one of them.", "I will not have it touched by such people, you can smell them.",
-    "He pushed into her again and again and she moaned for more.", "She took off her clothes and they had sex on the floor.", "Her wet mouth closed around his erect member.", "Write to me and I will do anything you like in bed for money.", "He licked her nipples while she rode him naked.",
-    "Nude women, hardcore films and pictures, pay here.", "His hands went down between her bare thighs.", "She wrote at length of her orgasm.", "Girls will do whatever you like, ask at the door.", "Pictures of couples copulating in every posture.",
-    "Diese Leute sind Ungeziefer und gehören hinausgeprügelt.", "Sie rissen sich die Kleider vom Leib und trieben es nackt.", "Man sollte dich verprügeln und im Fluss versenken.", "Ces gens sont de la vermine, il faut les chasser à coups de bâton.",
-    "Ils se mirent nus et firent l'amour en gémissant.", "Esa gente es una plaga, hay que echarlos a palos.", "Se desnudaron y tuvieron sexo entre gemidos.",
-)
-HARMLESS = (
-    "The bastard title and the half title are on the first sheet.", "Vermin were found in the grain and the rats were driven out.", "The reviewer struck the insult from the transcript and asked for a milder tone.", "The doctor examined both breasts and found no lump.",
-    "Columns: name, sex, age, and parish.", "The naked eye can not see it.", "The anatomy plate shows the sex organs in outline.", "The process was killed and its child was aborted.", "The master drive and the slave drive are listed.", "A dumb terminal stands beside it.",
-    "This index is a rotten mess and the layout is stupid.", "The script is garbage, throw the table away.", "The weeds were beaten down and burned behind the house.", "Beat the plate hard, spit on the stone and strike again.", "You will break your fingers if the lock is not oiled before you touch it.",
-    "He was dismissed for writing that these people are vermin, and rightly so.", "You are right, and I was a fool not to check it.", "They settled there long ago and brought their trade with them.", "They were driven out by soldiers that year.", "Parasites of the barley were described in the last chapter.",
-    "Das Register erklärt das Wort als alten Ausdruck für einen Laien.", "Le glossaire donne ces mots comme vieillis.", "El glosario da esas palabras como antiguas.",
-)
-
-
-def seeds() -> tuple[list[str], list[str]]:
-    """(bad, harmless) seed sentences: the lists, and every word in the frames of its language."""
-    bad = [*BAD, *(frame.format(w) for lang, words in INSULTS.items() for w in words for frame in ATTACKS[lang])]
-    bad += [f.format(c) for c in CONTEMPT for f in ("These people are {0} and ought to be driven out.", "They are {0}, and every decent reader knows it.")]
-    harmless = [*HARMLESS, *(frame.format(w) for words in INSULTS.values() for w in words for frame in MENTIONS)]
-    return bad, harmless
-
-
 def sentences(texts: list[str | None], words: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, sentence of each word, text of each sentence) of texts; sentences are numbered over all texts."""
     tokens: list[str] = []
@@ -129,16 +88,11 @@ class Model:
         return out
 
 
-def fit(labelled: list[tuple[str, bool]], background: list[str] = []) -> Model:  # noqa: B006
-    """labelled: (text, flagged); background: texts that nobody reviewed."""
+def fit(labelled: list[tuple[str, bool]]) -> Model:
+    """labelled: (text, flagged)."""
     rng = np.random.default_rng(11)
-    bad, harmless = seeds()
-    known = {t for t, _ in labelled}
-    background = [t for t in background if t not in known]
-    texts = [*(t for t, _ in labelled), *background, *bad, *harmless]
-    flags = np.array([*(f for _, f in labelled), *[False] * len(background), *[True] * len(bad), *[False] * len(harmless)])
-    weight = np.array([*[1.0] * len(labelled), *[BACKGROUND_WEIGHT] * len(background), *[SEED_WEIGHT] * (len(bad) + len(harmless))])
-    h, sentence, of = sentences(texts, WordHash())
+    flags = np.array([f for _, f in labelled], dtype=bool)
+    h, sentence, of = sentences([t for t, _ in labelled], WordHash())
     f, s = grams(h, sentence)
     order = np.argsort(s, kind="stable")
     f, s = f[order], s[order]
@@ -154,20 +108,19 @@ def fit(labelled: list[tuple[str, bool]], background: list[str] = []) -> Model:
     clean_in: Counter[bytes] = Counter()
     for t, own in by_text.items():
         for key in {rows[i].tobytes() for i in own}:
-            (bad_in if flags[t] else clean_in)[key] += weight[t]
-    first, last = len(labelled), len(labelled) + len(background)
+            (bad_in if flags[t] else clean_in)[key] += 1
     model = FTRL()
     for turn in range(ROUNDS):
         for t in rng.permutation(list(by_text)):
             if not flags[t]:
                 for i in by_text[t]:
-                    if first <= t < last and turn and model.weights(rows[i]).sum() + model.prior > DOUBT:
-                        continue  # what nobody reviewed and looks bad teaches nothing
-                    model.learn(rows[i], 0.0, weight[t])
+                    if turn and model.weights(rows[i]).sum() + model.prior > MISSED:
+                        continue  # what a reviewer seems to have missed teaches nothing
+                    model.learn(rows[i], 0.0)
                 continue
             own = [i for i in by_text[t] if clean_in[k := rows[i].tobytes()] <= ERRING * bad_in[k]]
             if own:  # in the first round, by the mean rather than the sum, so that long sentences have no lead
-                model.learn(rows[max(own, key=lambda i: model.weights(rows[i]).sum() / (len(rows[i]) ** 0.5 if turn == 0 else 1.0))], 1.0, weight[t])
+                model.learn(rows[max(own, key=lambda i: model.weights(rows[i]).sum() / (len(rows[i]) ** 0.5 if turn == 0 else 1.0))], 1.0)
     return Model(model.dense(), model.prior)
 
 
@@ -175,21 +128,16 @@ def reviewed(docs: DataFrame, labels: DataFrame) -> list[tuple[str, bool]]:
     """The bounded sample of reviewed documents with the majority's verdict."""
     votes = labels.where("flagged IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", *(["reviewer"] if "reviewer" in labels.columns else []), "flagged").distinct()
     verdict = votes.groupBy("doc_id").agg((F.avg("flagged") > 0.5).alias("bad"))
-    by_hash = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = verdict.where("bad").orderBy(*by_hash).limit(SAMPLE_FLAGGED).unionByName(verdict.where("NOT bad").orderBy(*by_hash).limit(SAMPLE_CLEAN))
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "bad").collect()
-    return [(r.text, r.bad) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
-
-
-def unreviewed(docs: DataFrame) -> list[str]:
-    """The bounded background: texts by the hash of doc_id, few of which can be bad."""
-    rows = docs.where("text IS NOT NULL").select(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id", "text").orderBy("h", "doc_id").limit(BACKGROUND).collect()
-    return [r.text for r in rows]
+    chosen = [*hash_sample(verdict.where("bad"), SAMPLE_FLAGGED, "doc_id"), *hash_sample(verdict.where("NOT bad"), SAMPLE_CLEAN, "doc_id")]
+    known = docs.sparkSession.createDataFrame([(r.doc_id, r.bad) for r in chosen], "doc_id long, bad boolean")
+    hit = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(known), "doc_id")  # at most the two bounds
+    rows = hit.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("bad").alias("bad")).collect()
+    return [(r.text, r.bad) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, score, flagged) of every document."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(reviewed(docs, labels), unreviewed(docs)))  # at most 2**20 weights
+    model = docs.sparkSession.sparkContext.broadcast(fit(reviewed(docs, labels)))  # at most 2**20 weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

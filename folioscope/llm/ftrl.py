@@ -88,7 +88,7 @@ def grams(h: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class FTRL:
     """Per-coordinate learning rates; L1 keeps only features that pay, so the weights stay compact."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.6, l2: float = 0.5, prior: float = -1.5):
+    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5, l2: float = 0.5, prior: float = -1.5):
         """prior: the log-odds of a sentence without evidence. It is given, not learnt: samples of reviews are no fair draw."""
         self.alpha, self.beta, self.l1, self.l2, self.prior = alpha, beta, l1, l2, prior
         self.z, self.n = np.zeros(MASK + 1), np.zeros(MASK + 1)

@@ -35,27 +35,33 @@ def test_held_out_accuracy_with_wrong_labels():
     rng = random.Random(3)
     train = [(t, f if rng.random() > 0.06 else not f) for t, f in corpus(600, 1)]
     held = corpus(400, 2)
-    p = abuse.fit(train, [clean(rng) for _ in range(200)] + [t for t, _ in corpus(10, 5)]).scores([t for t, _ in held])
+    p = abuse.fit(train).scores([t for t, _ in held])
     truth = np.array([f for _, f in held])
     found = p >= abuse.THRESHOLD
     assert (found & truth).sum() > 0.95 * truth.sum() and (found & ~truth).sum() < 0.03 * len(held)
 
 
-def test_seeds_alone_tell_attack_from_mention():
-    m = abuse.fit([], [clean(random.Random(i)) for i in range(50)])
-    p = m.scores(["You are a cretin and everyone knows it.", "The glossary explains cretin as an old word.", None, "", "  ", "The plate was cleaned."])
+def test_a_mention_is_no_attack():
+    rng = random.Random(4)
+    mentions = [(f"{clean(rng)} The margin says that a {n} is no clumsy thing to rot in a hole.", False) for n in NOUNS for _ in range(20)]
+    m = abuse.fit(corpus(600, 1) + mentions)
+    p = m.scores(["You clumsy oven, crawl back into your hole and rot.", "The margin says that a spoon is no clumsy thing to rot in a hole.", None, "", "  ", "The plate was cleaned."])
     assert p[0] > abuse.THRESHOLD > p[1] and p[2] == p[3] == p[4] == 0 and p[5] < abuse.THRESHOLD
 
 
+def test_nothing_is_found_without_reviews():
+    assert abuse.fit([]).scores([bad(random.Random(1))])[0] < abuse.THRESHOLD
+
+
 def test_disguises_come_off():
     assert plain("g4rb4g3 bassssstard rаt i m b e c i l e, s.u.b.h.u.m.a.n su­bhuman ＩＤＩＯＴ! ver-\nmin 1447") == "garbage bastard rat imbecile, subhuman subhuman idiot! vermin 1447"
     assert plain("wool and book, 1990") == "wool and book, 1990"
 
 
 def test_texts_do_not_run_into_each_other(monkeypatch):
-    m = abuse.fit([], [t for t, _ in corpus(100, 5)])
+    m = abuse.fit(corpus(600, 1))
     ends, begins = ["x.\n", "x-\n", "x\n\n", "x ", "", None, "\x1e", "\ue000"], ["- page", "<!-- page:1 -->", "# Head", "word", "\nword", "| cell |"]
-    texts = [e for b in begins for end in ends for e in (end, b)] + ["You are a cretin and everyone knows it."]
+    texts = [e for b in begins for end in ends for e in (end, b)] + ["You clumsy mason, crawl back into your hole and rot."]
     for size in (1_000_000, 10):
         monkeypatch.setattr(abuse, "CHUNK_CHARS", size)
         p = m.scores(texts)
@@ -64,8 +70,8 @@ def test_texts_do_not_run_into_each_other(monkeypatch):
 
 
 def test_long_texts():
-    m = abuse.fit([], [t for t, _ in corpus(100, 5)])
-    p = m.scores(["z" * 500_000, "word " * 100_000 + ". You are an idiot and everyone knows it.", ". " * 100_000])
+    m = abuse.fit(corpus(600, 1))
+    p = m.scores(["z" * 500_000, "word " * 100_000 + ". You clumsy mason, crawl back into your hole and rot.", ". " * 100_000])
     assert p[1] > abuse.THRESHOLD > max(p[0], p[2])
 
 
