@@ -42,11 +42,11 @@ def hash_sample(df: DataFrame, n: int, *keys: str) -> list[Row]:
 
 
 def most_frequent(df: DataFrame, n: int, count: str) -> DataFrame:
-    """The rows of the highest counts, at most ``n`` and whole steps of an eighth of a power of two of the count.
+    """The rows of the highest counts, at most ``n`` and whole steps of 1/32 of a power of two of the count.
 
-    The steps are counted first (a few hundred rows), so no partition sends its own top rows anywhere.
+    The steps are counted first (some hundred rows), so no partition sends its own top rows anywhere.
     """
-    step = F.floor(F.log2(F.col(count).cast("double")) * 8).cast("int")
+    step = F.floor(F.log2(F.col(count).cast("double")) * 32).cast("int")
     left, least = n, None
     for r in sorted(df.where(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
         if r.n > left:
