@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import LEADER_LINE, SPACED_PAGE_LINE, normalize_space
-from folioscope.operators import answers, documents, figures, logs, normalize, profiles, projection, qa, render, trials, validate
+from folioscope.operators import answers, documents, figures, logs, nested, normalize, profiles, projection, qa, render, trials, validate
 from folioscope.operators.drift import RENAMES
 from folioscope.sources.tables import one_per_key, table
 
@@ -251,4 +251,25 @@ PROBLEMS = {
       SELECT feed, file_name, 'renamed' AS change, field, new_field FROM x UNION ALL SELECT feed, file_name, 'type_changed', new_field, '' FROM x WHERE old <> types
       UNION ALL SELECT feed, file_name, change, field, '' FROM r WHERE change = 'type_changed' OR (change = 'removed' AND NOT EXISTS (SELECT 1 FROM x WHERE x.feed = r.feed AND x.file_name = r.file_name AND x.field = r.field)) OR (change = 'added' AND NOT EXISTS (SELECT 1 FROM x WHERE x.feed = r.feed AND x.file_name = r.file_name AND x.new_field = r.field))""",
 }
+_ITEM_VARIANT = """CASE json_type(v) WHEN 'VARCHAR' THEN 'item_text' WHEN 'ARRAY' THEN 'group' WHEN 'OBJECT' THEN CASE WHEN len(list_filter(json_keys(v), lambda k: k NOT IN ('text', 'children'))) > 0 THEN 'item_other'
+    WHEN coalesce(json_type(v, '$.text'), 'NULL') <> 'NULL' AND coalesce(json_type(v, '$.children'), 'NULL') <> 'NULL' THEN 'item_branch' ELSE 'item_node' END ELSE 'item_scalar' END"""
+_ROW_VARIANT = "CASE WHEN len(list_filter(cells, lambda c: c IS NOT NULL)) = 0 THEN 'row_empty' WHEN len(list_filter(cells, lambda c: c IS NULL)) = 0 THEN 'row_full' ELSE 'row_gapped' END"
+_WARN_VARIANT = "CASE WHEN x.block_id IS NOT NULL THEN 'warning_of_block' WHEN x.code IS NOT NULL OR x.message IS NOT NULL THEN 'warning_plain' ELSE 'warning_bare' END"
+_ELEMENTS = f"""e AS (SELECT page_id, 'block' AS kind, 'b' || block_no AS node, '' AS parent, {_VARIANT} AS variant FROM b WHERE b IS NOT NULL UNION ALL SELECT page_id, 'item', node, parent, {_ITEM_VARIANT} FROM i
+    UNION ALL SELECT page_id, 'table_row', 'b' || block_no || '.r' || row_no, 'b' || block_no, {_ROW_VARIANT} FROM r WHERE cells IS NOT NULL UNION ALL SELECT page_id, 'warning', node, parent, {_WARN_VARIANT} FROM w)"""
+_SUBTYPE_COLUMNS = {"text": "b.text AS text", "level": "b.level AS level", "caption": "b.caption AS caption", "description": "b.description AS description", "diagram_text": "array_to_string(b.diagram_text, chr(10)) AS diagram_text", "block_type": "b.type AS block_type"}
+PROBLEMS |= {
+    "p1_elements": f"WITH RECURSIVE {_BLOCKS}, {_ITEMS}, {_ROWS}, {_WARNS}, {_ELEMENTS} SELECT * FROM e",
+    "p1_variants": f"WITH RECURSIVE {_BLOCKS}, {_ITEMS}, {_ROWS}, {_WARNS}, {_ELEMENTS} SELECT kind, variant, count(*) AS n FROM e GROUP BY kind, variant",
+    "p1_items": f"""WITH RECURSIVE {_BLOCKS}, {_ITEMS} SELECT page_id, node, parent, CAST(len(regexp_extract_all(node, '\\.i')) AS INT) AS depth, {_ITEM_VARIANT} AS variant,
+      CASE WHEN json_type(v) = 'OBJECT' THEN v ->> '$.text' WHEN json_type(v) <> 'ARRAY' THEN v ->> '$' END AS text FROM i""",
+    "p1_cells": f"""WITH {_BLOCKS}, {_ROWS}, h AS (SELECT page_id, 'b' || block_no || '.h' AS parent, unnest(b."table".headers) AS value, generate_subscripts(b."table".headers, 1) - 1 AS n, CAST(NULL AS VARCHAR) AS header FROM b),
+      c AS (SELECT r.page_id, 'b' || r.block_no || '.r' || row_no AS parent, unnest(cells) AS value, generate_subscripts(cells, 1) - 1 AS n, r.block_no FROM r),
+      x AS (SELECT page_id, parent, value, n, header FROM h UNION ALL SELECT c.page_id, c.parent, c.value, c.n, b.b."table".headers[c.n + 1] FROM c JOIN b ON b.page_id = c.page_id AND b.block_no = c.block_no)
+      SELECT page_id, parent || '.c' || n AS node, parent, CAST(n AS INT) AS column_no, header, value FROM x""",
+    **{
+        f"p1_{v}s": f"WITH {_BLOCKS}, x AS (SELECT *, {_VARIANT} AS variant FROM b WHERE b IS NOT NULL) SELECT page_id, 'b' || block_no AS node, '' AS parent, CAST(block_no AS INT) AS block_no, b.id AS block_id{''.join(', ' + _SUBTYPE_COLUMNS[c] for c in columns)} FROM x WHERE variant = '{v}'"
+        for v, columns in nested.SUBTYPES.items()
+    },
+}
 ORACLES |= PROBLEMS

@@ -50,6 +50,33 @@ def test_variants_route_to_subtype_tables(spark):
     assert rows(nested.variant_counts(df)) == sorted([("block", v, 1) for v in nested.SUBTYPES] + [("item", "item_text", 1)], key=repr)
 
 
+def test_states_of_rows_and_warnings(spark):
+    b = [block(table=(["h", None], [["1", "2"], [None, "3"], [None], []])), block(text="t", warnings=[("c", None, "x"), (None, None, None)])]
+    df = spark.createDataFrame([page(1, b, [("c", None, None)])], SCHEMA)
+    assert rows(nested.elements(df), "node", "variant") == sorted([("b0", "table_block"), ("b0.r0", "row_full"), ("b0.r1", "row_gapped"), ("b0.r2", "row_empty"), ("b0.r3", "row_empty"), ("b1", "text_block"), ("b1.w0", "warning_of_block"), ("b1.w1", "warning_bare"), ("w0", "warning_plain")], key=repr)
+    cells = [("b0.h", 0, None, "h"), ("b0.h", 1, None, None), ("b0.r0", 0, "h", "1"), ("b0.r0", 1, None, "2"), ("b0.r1", 0, "h", None), ("b0.r1", 1, None, "3"), ("b0.r2", 0, "h", None)]
+    assert rows(nested.cells_table(df), "parent", "column_no", "header", "value") == sorted(cells, key=repr)
+
+
+def test_json_deeper_than_recursion_goes():
+    n = 200_000
+    text = '[{"text": "t", "children": ' * n + "[]" + "}]" * n
+    got = nested.deep_json(text)
+    depth = 0
+    while got:
+        depth, got = depth + 1, got[0]["children"]
+    assert depth == n
+    for good in ('[1, "a\\"b", null, {"k": [true, -2.5e3]}, [], {}]', ' "x" ', "7"):
+        assert nested.deep_json(good) == json.loads(good)
+    for bad in ("[", "[1,]", '{"a" 1}', "{1: 2}", "[1 2]", "]", "", '{"a":}', "[}", "{,}", "nul", "1 2"):
+        try:
+            nested.deep_json(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    assert len(nested.walk_items("[" * 3000 + '"x"' + "]" * 3000, "b0")) == 3000
+
+
 def test_automaton_states():
     assert ITEMS.state({"text": "a", "children": [{"text": "b"}]})[0] == "item_branch"
     assert ITEMS.state({"text": "a", "odd": 1})[0] == "item_other"
