@@ -20,7 +20,7 @@ QUERIES = {
     "p1_variants": lambda spark, d: nested.variant_counts(table(spark, d, "ocr_pages")),
     "p3_found": lambda spark, d: drift.found(table(spark, d, "page_files")),
     "p3_fingerprints": lambda spark, d: drift.fingerprints(table(spark, d, "page_files")),
-    # p3_migrations
+    "p3_migrations": lambda spark, d: drift.migrations(table(spark, d, "page_files")),
     "p3_pages": lambda spark, d: drift.pages(table(spark, d, "page_files")),
     "p6_found": lambda spark, d: logparse.found(table(spark, d, "log_events")),
     "p6_entries": lambda spark, d: logparse.found(table(spark, d, "log_events"), message=True),

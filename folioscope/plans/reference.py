@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import LEADER_LINE, SPACED_PAGE_LINE, normalize_space
 from folioscope.operators import answers, documents, figures, logs, nested, normalize, profiles, projection, qa, render, trials, validate
-from folioscope.operators.drift import RENAMES
+from folioscope.operators.drift import CASTS, DEFAULTS, RENAMES
 from folioscope.sources.tables import one_per_key, table
 
 TERMS = ["waggon", "[PAD]", "almanack", "five spaces"]
@@ -231,25 +231,26 @@ _WARNS = """w AS (SELECT page_id, 'w' || n AS node, '' AS parent, x FROM (SELECT
 _VARIANT = """CASE WHEN b."table" IS NOT NULL THEN 'table_block' WHEN b.items IS NOT NULL THEN 'list_block' WHEN b.description IS NOT NULL OR b.diagram_text IS NOT NULL OR (b.caption IS NOT NULL AND b.text IS NULL) THEN 'figure_block'
     WHEN b.text IS NOT NULL AND b.level IS NOT NULL THEN 'heading_block' WHEN b.text IS NOT NULL THEN 'text_block' ELSE 'bare_block' END"""
 
-#: SQL of the queries of problems 1 and 3.
-PROBLEMS = {
-    "p1_found": f"WITH RECURSIVE {_BLOCKS}, {_ITEMS}, {_ROWS}, {_WARNS} SELECT page_id, 'block' AS kind, 'b' || block_no AS node, '' AS parent FROM b WHERE b IS NOT NULL UNION ALL SELECT page_id, 'item', node, parent FROM i UNION ALL SELECT page_id, 'table_row', 'b' || block_no || '.r' || row_no, 'b' || block_no FROM r WHERE cells IS NOT NULL UNION ALL SELECT page_id, 'warning', node, parent FROM w",
-    "p1_blocks": f"WITH {_BLOCKS} SELECT page_id, book_id, page_number, CAST(block_no AS INT) AS block_no, 'b' || block_no AS node, '' AS parent, {_VARIANT} AS variant, b.id AS block_id, b.type AS block_type, b.text AS text, CAST(b.level AS VARCHAR) AS level, b.caption AS caption, b.description AS description, array_to_string(b.diagram_text, chr(10)) AS diagram_text, array_to_string(b.\"table\".headers, '|') AS headers, b.confidence AS confidence FROM b WHERE b IS NOT NULL",
-    "p1_table_rows": f"WITH {_BLOCKS}, {_ROWS} SELECT page_id, 'b' || block_no || '.r' || row_no AS node, 'b' || block_no AS parent, CAST(len(cells) AS BIGINT) AS n_cells, coalesce(array_to_string(cells, '|'), '') AS cells FROM r WHERE cells IS NOT NULL",
-    "p1_warnings": f"WITH {_BLOCKS}, {_WARNS} SELECT page_id, node, parent, x.code AS code, x.message AS message, x.block_id AS block_id FROM w",
-    "p3_found": f"""WITH j AS (SELECT feed, file_name, CAST(payload AS JSON) AS j FROM page_files WHERE json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT'),
+_FIELDS = f"""j AS (SELECT feed, file_name, CAST(payload AS JSON) AS j FROM page_files WHERE json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT'),
       e AS (SELECT feed, file_name, k AS field, json_type(json_extract(j, '$."' || k || '"')) AS t FROM (SELECT feed, file_name, j, unnest(json_keys(j)) AS k FROM j)
         UNION ALL SELECT feed, file_name, 'blocks[].' || k, json_type(json_extract(o, '$."' || k || '"')) FROM (SELECT feed, file_name, o, unnest(json_keys(o)) AS k FROM (SELECT feed, file_name, unnest(json_extract(j, '$.blocks[*]')) AS o FROM j) WHERE json_type(o) = 'OBJECT')),
       f AS (SELECT feed, file_name, field, list_sort(list(DISTINCT CASE WHEN t = 'NULL' THEN NULL WHEN t IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' ELSE t END) FILTER (t <> 'NULL')) AS types FROM e GROUP BY 1, 2, 3),
-      chain AS (SELECT feed, file_name, lag(file_name) OVER (PARTITION BY feed ORDER BY w, file_name) AS prev FROM (SELECT feed, file_name, min(written_at) AS w FROM page_files GROUP BY 1, 2)),
-      n AS (SELECT c.feed, c.file_name, f.field, coalesce(f.types, []) AS types FROM chain c JOIN f USING (feed, file_name) WHERE prev IS NOT NULL),
+      chain AS (SELECT feed, file_name, lag(file_name) OVER (PARTITION BY feed ORDER BY w, file_name) AS prev FROM (SELECT feed, file_name, min(written_at) AS w FROM page_files GROUP BY 1, 2))"""
+_CHANGES = f"""n AS (SELECT c.feed, c.file_name, f.field, coalesce(f.types, []) AS types FROM chain c JOIN f USING (feed, file_name) WHERE prev IS NOT NULL),
       o AS (SELECT c.feed, c.file_name, f.field, coalesce(f.types, []) AS old FROM chain c JOIN f ON c.feed = f.feed AND c.prev = f.file_name),
       d AS (SELECT coalesce(n.feed, o.feed) AS feed, coalesce(n.file_name, o.file_name) AS file_name, coalesce(n.field, o.field) AS field, types, old, CASE WHEN old IS NULL THEN 'added' WHEN types IS NULL THEN 'removed' WHEN types <> old THEN 'type_changed' END AS change FROM n FULL JOIN o ON n.feed = o.feed AND n.file_name = o.file_name AND n.field = o.field),
       fam AS (SELECT d.*, coalesce(v.family, '~' || lower(replace(field, '_', ''))) AS family FROM d LEFT JOIN (VALUES {_families}) v(name, family) ON v.name = d.field WHERE change IS NOT NULL),
       r AS (SELECT *, row_number() OVER (PARTITION BY feed, file_name, family, change ORDER BY field) AS k FROM fam),
-      x AS (SELECT a.feed, a.file_name, a.field, b.field AS new_field, a.old, b.types FROM r a JOIN r b ON a.feed = b.feed AND a.file_name = b.file_name AND a.family = b.family AND a.k = b.k AND a.change = 'removed' AND b.change = 'added')
-      SELECT feed, file_name, 'renamed' AS change, field, new_field FROM x UNION ALL SELECT feed, file_name, 'type_changed', new_field, '' FROM x WHERE old <> types
-      UNION ALL SELECT feed, file_name, change, field, '' FROM r WHERE change = 'type_changed' OR (change = 'removed' AND NOT EXISTS (SELECT 1 FROM x WHERE x.feed = r.feed AND x.file_name = r.file_name AND x.field = r.field)) OR (change = 'added' AND NOT EXISTS (SELECT 1 FROM x WHERE x.feed = r.feed AND x.file_name = r.file_name AND x.new_field = r.field))""",
+      x AS (SELECT a.feed, a.file_name, a.field, b.field AS new_field, a.old, b.types FROM r a JOIN r b ON a.feed = b.feed AND a.file_name = b.file_name AND a.family = b.family AND a.k = b.k AND a.change = 'removed' AND b.change = 'added'),
+      z AS (SELECT feed, file_name, 'renamed' AS change, field, new_field FROM x UNION ALL SELECT feed, file_name, 'type_changed', new_field, '' FROM x WHERE old <> types
+      UNION ALL SELECT feed, file_name, change, field, '' FROM r WHERE change = 'type_changed' OR (change = 'removed' AND NOT EXISTS (SELECT 1 FROM x WHERE x.feed = r.feed AND x.file_name = r.file_name AND x.field = r.field)) OR (change = 'added' AND NOT EXISTS (SELECT 1 FROM x WHERE x.feed = r.feed AND x.file_name = r.file_name AND x.new_field = r.field)))"""
+
+#: SQL of the queries of problems 1 and 3.
+PROBLEMS = {
+    "p1_found": f"WITH RECURSIVE {_BLOCKS}, {_ITEMS}, {_ROWS}, {_WARNS} SELECT page_id, 'block' AS kind, 'b' || block_no AS node, '' AS parent FROM b WHERE b IS NOT NULL UNION ALL SELECT page_id, 'item', node, parent FROM i UNION ALL SELECT page_id, 'table_row', 'b' || block_no || '.r' || row_no, 'b' || block_no FROM r WHERE cells IS NOT NULL UNION ALL SELECT page_id, 'warning', node, parent FROM w",
+    "p1_blocks": f"WITH {_BLOCKS} SELECT page_id, book_id, page_number, CAST(block_no AS INT) AS block_no, 'b' || block_no AS node, '' AS parent, {_VARIANT} AS variant, b.id AS block_id, b.type AS block_type, b.text AS text, CAST(b.level AS VARCHAR) AS level, b.caption AS caption, b.description AS description, array_to_string(b.diagram_text, chr(10)) AS diagram_text, array_to_string(b.\"table\".headers, '|') AS headers, b.confidence AS confidence FROM b WHERE b IS NOT NULL",
+    "p1_table_rows": f"WITH {_BLOCKS}, {_ROWS} SELECT page_id, 'b' || block_no || '.r' || row_no AS node, 'b' || block_no AS parent, CAST(len(cells) AS BIGINT) AS n_cells, coalesce(array_to_string(cells, '|'), '') AS cells FROM r WHERE cells IS NOT NULL",
+    "p1_warnings": f"WITH {_BLOCKS}, {_WARNS} SELECT page_id, node, parent, x.code AS code, x.message AS message, x.block_id AS block_id FROM w",
 }
 _ITEM_VARIANT = """CASE json_type(v) WHEN 'VARCHAR' THEN 'item_text' WHEN 'ARRAY' THEN 'group' WHEN 'OBJECT' THEN CASE WHEN len(list_filter(json_keys(v), lambda k: k NOT IN ('text', 'children'))) > 0 THEN 'item_other'
     WHEN coalesce(json_type(v, '$.text'), 'NULL') <> 'NULL' AND coalesce(json_type(v, '$.children'), 'NULL') <> 'NULL' THEN 'item_branch' ELSE 'item_node' END ELSE 'item_scalar' END"""
@@ -272,4 +273,13 @@ PROBLEMS |= {
         for v, columns in nested.SUBTYPES.items()
     },
 }
+_argument = "CASE WHEN change = 'type_changed' THEN " + f"coalesce(CASE v.family {' '.join(f'WHEN {_q(k)} THEN {_q(x)}' for k, x in CASTS.items())} END, 'string') WHEN change IN ('added', 'removed') THEN CASE v.family {' '.join(f'WHEN {_q(k)} THEN {_q(x)}' for k, x in DEFAULTS.items())} END END"
+PROBLEMS |= {
+    "p3_found": f"WITH {_FIELDS}, {_CHANGES} SELECT * FROM z",
+    "p3_fingerprints": f"""WITH {_FIELDS}, x AS (SELECT feed, file_name, sha256(array_to_string(list_sort(list(field || ':' || coalesce(array_to_string(list_sort(list_transform(types, lambda t: CASE t WHEN 'VARCHAR' THEN 'string' ELSE lower(t) END)), '+'), ''))), ',')) AS fingerprint, count(*) AS n_fields FROM f GROUP BY feed, file_name)
+      SELECT feed, file_name, version, fingerprint, coalesce(n_fields, 0) AS n_fields FROM (SELECT feed, file_name, row_number() OVER (PARTITION BY feed ORDER BY w, file_name) AS version FROM (SELECT feed, file_name, min(written_at) AS w FROM page_files GROUP BY 1, 2)) LEFT JOIN x USING (feed, file_name)""",
+    "p3_migrations": f"""WITH {_FIELDS}, {_CHANGES}, st AS (SELECT z.feed, file_name, CASE change WHEN 'renamed' THEN 1 WHEN 'added' THEN 2 WHEN 'removed' THEN 3 ELSE 4 END AS place, field, new_field, {_argument} AS argument FROM z LEFT JOIN (VALUES {_families}) v(name, family) ON v.name = field),
+      g AS (SELECT feed, file_name, row_number() OVER (PARTITION BY feed ORDER BY w, file_name) AS version FROM (SELECT feed, file_name, min(written_at) AS w FROM page_files GROUP BY 1, 2))
+      SELECT feed, version, row_number() OVER (PARTITION BY feed, version ORDER BY place, field, new_field) AS step, ['rename', 'default', 'drop', 'cast'][place] AS op, field, new_field, argument FROM st JOIN g USING (feed, file_name)""",
+}
 ORACLES |= PROBLEMS

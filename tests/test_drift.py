@@ -62,3 +62,25 @@ def test_fields_without_a_rule_and_warnings_are_kept(spark):
     assert {k: json.loads(x) for k, x in one.other_fields.items()} == {"cost": 0.5, "retry": False}
     assert one.blocks[0].other_fields.keys() == {"bbox", "font"} and json.loads(one.blocks[0].other_fields["bbox"]) == [1, 2]
     assert (two.n_warnings, two.warnings, two.other_fields) == (4, None, {})
+
+
+def test_renames_by_values_without_a_rule(spark):
+    a = [line("a", 1, i, {"engine_kind": f"e{i % 3}", "price": i, "x": "s"}) for i in range(30)]
+    b = [line("b", 2, i, {"kindOfEngine": f"e{i % 3}", "retry": i, "y": "s", "x": "s"}) for i in range(30)]
+    got = rows(drift.found(spark.createDataFrame(a + b, SCHEMA)), "change", "field", "new_field")
+    assert got == [("added", "retry", ""), ("added", "y", ""), ("removed", "price", ""), ("renamed", "engine_kind", "kindOfEngine")]
+
+
+def test_migration_steps_and_their_chain(spark):
+    data = [line("a", 1, 1, {"page": 1, "shelfMark": "q"}), line("b", 2, 1, {"pageNumber": "2", "shelf_mark": "r"}), line("c", 3, 1, {"pageNumber": "3", "ShelfMark": "s", "schema": "v2"})]
+    df = spark.createDataFrame(data, SCHEMA)
+    steps = rows(drift.migrations(df), "version", "step", "op", "field", "new_field", "argument")
+    assert steps == [(2, 1, "rename", "page", "pageNumber", None), (2, 2, "rename", "shelfMark", "shelf_mark", None), (2, 3, "cast", "pageNumber", "", "int"), (3, 1, "rename", "shelf_mark", "ShelfMark", None), (3, 2, "default", "schema", "", "structured-ocr/v1")]
+    got = drift.pages(df).orderBy("file_name").collect()
+    assert [(r.page_number, r.schema_version, r.other_fields) for r in got] == [(1, "structured-ocr/v1", {"ShelfMark": '"q"'}), (2, "structured-ocr/v1", {"ShelfMark": '"r"'}), (3, "v2", {"ShelfMark": '"s"'})]
+    assert drift.pages(df.where("false")).count() == 0 and drift.migrations(df.where("false")).count() == 0
+
+
+def test_a_valid_copy_counts_before_a_broken_one(spark):
+    data = [line("a", 1, 1, "{!"), line("a", 1, 1, {"page": 4}), line("a", 1, 2, None)]
+    assert rows(drift.pages(spark.createDataFrame(data, SCHEMA)), "line_no", "page_number") == [(1, 4)]
