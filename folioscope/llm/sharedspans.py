@@ -10,8 +10,11 @@
    length, the occurrences are located and extended to both sides, exactly.
 3. Pairs of windows become pairs of pages through the membership table.
 
-A fingerprint with more than ``HOT`` windows is split into blocks, each indexed by itself, against which all its windows
-are streamed. Nothing is capped: each pair of pages with a common span is found once it has a common fingerprint, which
+A fingerprint with more than ``HOT`` windows is routed on by anchors: its gram with ``PIECES - 1`` of ``PIECES`` equal pieces of the
+text beside it, some to the left and the others to the right. Windows with a span in common have one of these anchors in
+common, and windows with a common anchor nearly a whole span, so what meets in a shard is nearly all result. A shard
+that still has more than ``HOT`` windows is split into blocks, each indexed by itself, against which the windows of the
+shard are streamed, ``SHARD_CHARS`` characters at a time. Nothing is capped: each pair of pages with a common span is found once it has a common fingerprint, which
 it always has.
 
 Defined results: pages are taken once, by page_id; null blocks, null texts and texts shorter than SPAN share nothing; a
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.fmindex import FMIndex
@@ -33,7 +36,10 @@ from folioscope.sources.tables import one_per_key, stored
 SPAN = 120
 GRAM = 64
 HOT = 1500
+PIECES = 4
 SHARD_CHARS = 400_000
+#: How many occurrences are located and extended at once.
+LOCATED = 2_000_000
 
 
 def code_points(text: str) -> np.ndarray:
@@ -115,16 +121,16 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def windows(pages: DataFrame) -> DataFrame:
-    """(fp, page_id, block_no, begin, window, wid) around every fingerprint that more than one page has."""
+    """(fp, page_id, block_no, begin, rel, window, wid) around every fingerprint that more than one page has."""
     texts = stored(blocks(pages), "block-texts")
-    prints = texts.mapInArrow(_prints, "page_id long, block_no int, at int, fp long")
+    prints = stored(texts.mapInArrow(_prints, "page_id long, block_no int, at int, fp long"), "prints")  # small rows, read twice
     shared = prints.groupBy("fp").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).where("a <> b").select("fp")
     hits = prints.join(shared, "fp", "left_semi")
     margin = SPAN - GRAM
     begin = F.greatest(F.col("at") - margin, F.lit(0))
     w = hits.join(texts, ["page_id", "block_no"]).withColumn("begin", begin)
     w = w.withColumn("window", F.expr(f"substring(text, begin + 1, at - begin + {GRAM + margin})"))
-    return stored(w.select("fp", "page_id", "block_no", "begin", "window", F.xxhash64("window").alias("wid")), "windows")
+    return stored(w.select("fp", "page_id", "block_no", "begin", (F.col("at") - F.col("begin")).alias("rel"), "window", F.xxhash64("window").alias("wid")), "windows")
 
 
 def _extended(grid: np.ndarray, mine: np.ndarray, at_mine: np.ndarray, other: np.ndarray, at_other: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,21 +152,25 @@ def _extended(grid: np.ndarray, mine: np.ndarray, at_mine: np.ndarray, other: np
     return out[0], out[1]
 
 
-def match_shard(rows: list[tuple[int, int, int, str, bool]]) -> list[tuple[int, int, int, int, int]]:
-    """(fp, wid, partner wid, begin, end) of the windows of one shard, from (fp, salt, wid, window, is_index)."""
+#: A row of a shard: shard, salt, fp, wid, window, whether it is indexed here, and whether it is still to be searched.
+Row = tuple[int, int, int, int, str, bool, bool]
+
+
+def match_shard(rows: list[Row]) -> list[tuple[int, int, int, int, int]]:
+    """(fp, wid, partner wid, begin, end) of the windows of some shards that share a span with an indexed window of their own."""
     half = SPAN // 2
-    texts = [code_points(r[3]) for r in rows]
+    texts = [code_points(r[4]) for r in rows]
     longest = max(map(len, texts))
     grid = np.zeros((len(rows), longest), dtype=np.int64)
     for i, t in enumerate(texts):
         grid[i, : len(t)] = t.astype(np.int64) + 1
-    of = np.flatnonzero([r[4] for r in rows])
+    of = np.flatnonzero([r[5] for r in rows])
     if len(of) == 0:
         return []
     fm = FMIndex([texts[i] for i in of], 64)
     owner, at = [], []
     for i, t in enumerate(texts):
-        for s in range(0, len(t) - half + 1, half):
+        for s in range(0, len(t) - half + 1, half) if rows[i][6] else ():
             owner.append(i)
             at.append(s)
     if not owner:
@@ -169,27 +179,29 @@ def match_shard(rows: list[tuple[int, int, int, str, bool]]) -> list[tuple[int,
     patterns = np.stack([texts[i][s : s + half] for i, s in zip(owner, at, strict=True)])
     lo, hi, matched = fm.search(patterns)
     found = np.flatnonzero(matched == half)
-    if not len(found):
-        return []
+    keys, wids = np.array([(r[0], r[1]) for r in rows]), np.array([r[3] for r in rows])
+    out: set[tuple[int, int, int, int, int]] = set()
+    # What is located at once is bounded, since a pattern of a hot shard occurs in all of it.
     sizes = hi[found] - lo[found]
-    q = np.repeat(found, sizes)
-    flat = np.repeat(lo[found] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
-    pos = fm.order[flat]
-    text = np.searchsorted(fm.starts, pos, side="right") - 1
-    off = pos - fm.starts[text]
-    other = of[text]
-    fps, wids, salts = np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
-    mine = owner_a[q]
-    same = (fps[mine] == fps[other]) & (salts[mine] == salts[other]) & (wids[mine] != wids[other])
-    q, other, off, mine = q[same], other[same], off[same], mine[same]
-    left, right = _extended(grid, mine, at_a[q], other, off, half)
-    good = left + half + right >= SPAN
-    out = {(int(fps[m]), int(wids[m]), int(wids[o]), int(s - a), int(s + half + b)) for m, o, s, a, b in zip(mine[good], other[good], at_a[q][good], left[good], right[good], strict=True)}
+    for part in np.split(np.arange(len(found)), np.flatnonzero(np.diff(np.cumsum(sizes) // LOCATED)) + 1) if len(found) else ():
+        q = np.repeat(found[part], sizes[part])
+        n = sizes[part]
+        flat = np.repeat(lo[found[part]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        pos = fm.order[flat]
+        text = np.searchsorted(fm.starts, pos, side="right") - 1
+        off = pos - fm.starts[text]
+        other, mine = of[text], owner_a[q]
+        same = (keys[mine] == keys[other]).all(axis=1) & (wids[mine] != wids[other])
+        q, other, off, mine = q[same], other[same], off[same], mine[same]
+        left, right = _extended(grid, mine, at_a[q], other, off, half)
+        good = left + half + right >= SPAN
+        out |= {(rows[m][2], int(wids[m]), int(wids[o]), int(s - a), int(s + half + b)) for m, o, s, a, b in zip(mine[good].tolist(), other[good].tolist(), at_a[q][good], left[good], right[good], strict=True)}
     return sorted(out)
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple[int, int, int, str, bool]] = []
+    """Small shards are searched together; of a large one, whose indexed rows come first, the rest is streamed past them."""
+    rows: list[Row] = []
     chars = 0
 
     def flush() -> pa.RecordBatch:
@@ -199,23 +211,39 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and chars >= SHARD_CHARS and row[:2] != rows[-1][:2]:
-                yield flush()
-                rows, chars = [], 0
-            rows.append(row)
-            chars += len(row[3])
+            if rows and chars >= SHARD_CHARS:
+                new = row[:2] != rows[-1][:2]
+                if new or not row[5]:
+                    yield flush()
+                    rows = [] if new else [(*r[:6], False) for r in rows if r[5] and r[:2] == row[:2]]
+                    chars = 0 if new else min(SHARD_CHARS // 2, sum(len(r[4]) for r in rows))
+            rows.append((*row, True))
+            chars += len(row[4])
     if rows:
         yield flush()
 
 
+def anchors(window: str = "window", rel: str = "rel") -> Column:
+    """The anchors of a window, by hash, wherever its gram occurs in it."""
+    piece = (SPAN - GRAM) // PIECES
+    width = GRAM + piece * (PIECES - 1)
+    at = f"filter(sequence(0, length({window}) - {GRAM}), i -> substring({window}, i + 1, {GRAM}) = substring({window}, {rel} + 1, {GRAM}))"
+    own = f"transform(filter(sequence(0, {PIECES - 1}), l -> i >= {piece} * l AND i - {piece} * l + {width} <= length({window})), l -> xxhash64(l, substring({window}, i - {piece} * l + 1, {width})))"
+    return F.expr(f"array_distinct(flatten(transform({at}, i -> {own})))")
+
+
 def matches(w: DataFrame) -> DataFrame:
     """(fp, wid, partner, from, to): which windows share a span, and where in the first; equal windows are their own partners."""
-    distinct = w.groupBy("fp", "wid").agg(F.first("window").alias("window"), F.min("page_id").alias("a"), F.max("page_id").alias("b"))
+    distinct = w.groupBy("fp", "wid").agg(F.first("window").alias("window"), F.min("rel").alias("rel"), F.min("page_id").alias("a"), F.max("page_id").alias("b"))
     sizes = distinct.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / HOT).cast("int")
-    rows = distinct.select("fp", "wid", "window").join(sizes, "fp").withColumn("own", F.pmod("wid", parts).cast("int"))
-    spread = rows.select("fp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), "wid", "window", "own").select("fp", "salt", "wid", "window", (F.col("own") == F.col("salt")).alias("is_index"))
-    unlike = spread.repartition("fp", "salt").sortWithinPartitions("fp", "salt").mapInArrow(_search, "fp long, wid long, partner long, from int, to int")
+    rows = distinct.select("fp", "wid", "window", "rel").join(sizes, "fp")
+    cold = rows.where(F.col("n") <= HOT).select(F.col("fp").alias("shard"), F.lit(0).alias("salt"), "fp", "wid", "window", F.lit(True).alias("is_index"))
+    hot = rows.where(F.col("n") > HOT).select("fp", "wid", "window", F.explode(anchors()).alias("anchor")).select(F.xxhash64("fp", "anchor").alias("shard"), "fp", "wid", "window")
+    parts = F.ceil(F.col("m") / HOT).cast("int")
+    split = hot.join(hot.groupBy("shard").agg(F.count("*").alias("m")).where("m > 1"), "shard").withColumn("own", F.pmod("wid", parts).cast("int"))
+    spread = split.select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), "fp", "wid", "window", "own").select("shard", "salt", "fp", "wid", "window", (F.col("own") == F.col("salt")).alias("is_index"))
+    shards = cold.unionByName(spread).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.desc("is_index"))
+    unlike = shards.mapInArrow(_search, "fp long, wid long, partner long, from int, to int")
     equal = distinct.where((F.col("a") != F.col("b")) & (F.length("window") >= SPAN)).select("fp", "wid", F.col("wid").alias("partner"), F.lit(0).alias("from"), F.length("window").alias("to"))
     return unlike.unionByName(equal)
 

@@ -114,3 +114,35 @@ def test_odd_rows(spark):
     assert rows(sharedspans.found(df)) == [(4, 5), (6, 7)]
     assert rows(sharedspans.shared_amounts(df), "page_id", "shared_chars") == [(1, 0), (2, 0), (3, 0), (4, 446), (5, 223), (6, 500), (7, 130)]
     assert sharedspans.found(df.where("false")).count() == 0
+
+
+def test_a_hot_fingerprint_in_bounded_memory():
+    rng = random.Random(5)
+    text = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    gram, sides = text(64), [text(56) for _ in range(3)]
+    windows = [text(56 - k) + rng.choice(sides)[56 - k :] + gram + text(56) for k in rng.choices(range(57), k=20_000)]
+    rows_ = [(1, 0, 7, i, w, i < 50) for i, w in enumerate(windows)]
+    import tracemalloc
+
+    batch = sharedspans.pa.RecordBatch.from_pylist([dict(zip(("shard", "salt", "fp", "wid", "window", "is_index"), r, strict=True)) for r in rows_])
+    tracemalloc.start()
+    got = {(r["wid"], r["partner"]) for out in sharedspans._search(iter([batch])) for r in out.to_pylist()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    common = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=True)) if p != q), 56)
+    want = {(i, j) for i, w in enumerate(windows) for j, v in enumerate(windows[:50]) if i != j and w[26:56] == v[26:56] and common(w[55::-1], v[55::-1]) + common(w[120:], v[120:]) >= 56}
+    assert got == want and want and peak < 200e6
+
+
+def test_anchors_meet_wherever_a_span_is_shared(spark):
+    rng = random.Random(6)
+    pair = []
+    for k in range(300):
+        alphabet = "a" if k % 3 == 0 else "ab" if k % 3 == 1 else "abcdefgh "
+        span = "".join(rng.choice(alphabet) for _ in range(120))
+        for _ in range(2):
+            left, right = ("".join(rng.choice("xyz") for _ in range(56)) for _ in range(2))
+            at = rng.choice([i for i in range(57) if span[i : i + 64] == span[20:84]])
+            pair.append((k, (left + span + right)[at : at + 176], 56))
+    got = spark.createDataFrame(pair, "k int, window string, rel int").withColumn("a", sharedspans.anchors()).groupBy("k").agg(sharedspans.F.collect_list("a").alias("a")).collect()
+    assert len(got) == 300 and all(set(r.a[0]) & set(r.a[1]) for r in got)
