@@ -1,7 +1,9 @@
 """A weighted Earley parser over token classes that builds its chart once per sequence of classes.
 
 Lines of one program share the classes of their first tokens, so the chart columns are kept in a trie keyed by class: a
-line walks the trie, and only a sequence that was never seen runs the predictor, scanner and completer. Rules have
+line walks the trie, and only a sequence that was never seen runs the predictor, scanner and completer. A node of the trie
+holds the last column and the nodes at which its items began, no other columns, and the trie is forgotten when it has
+``MOST`` nodes, so memory is bounded whatever the lines are. Rules have
 weights; of several derivations the one of the highest total weight is kept at each item (Viterbi). ``REST`` is the
 terminal of everything that follows: where the grammar allows it, the parse may end and the rest of the line is free text.
 """
@@ -12,6 +14,7 @@ import re
 from dataclasses import dataclass, field
 
 REST = "REST"
+MOST = 50_000
 
 
 @dataclass(frozen=True)
@@ -36,7 +39,9 @@ def grammar(text: str) -> list[Rule]:
 class Node:
     """The chart after some sequence of classes: its last column, and the best complete parse if the rest is free text."""
 
-    columns: list[dict]
+    at: int
+    column: dict
+    origins: dict[int, Node]
     expects: frozenset[str] = frozenset()
     best: tuple[float, tuple] | None = None
     next: dict[str, Node | None] = field(default_factory=dict)
@@ -48,11 +53,12 @@ class Earley:
         self.by_left: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
             self.by_left.setdefault(r.left, []).append(i)
-        self.root = self._close([{(i, 0, 0): (rules[i].weight, ()) for i in self.by_left[start]}])
+        self.nodes = 0
+        self.root = self._close(Node(0, {(i, 0, 0): (rules[i].weight, ()) for i in self.by_left[start]}, {}))
 
-    def _close(self, columns: list[dict]) -> Node:
-        """Run predictor and completer over the last column. An item is (rule, dot, origin) with its best (weight, parts)."""
-        here, column = len(columns) - 1, columns[-1]
+    def _close(self, node: Node) -> Node:
+        """Run predictor and completer over a column. An item is (rule, dot, origin) with its best (weight, parts)."""
+        here, column, origins = node.at, node.column, node.origins
         agenda = list(column)
         while agenda:
             item = agenda.pop()
@@ -64,14 +70,18 @@ class Earley:
                 new = [((i, 0, here), (self.rules[i].weight, ())) for i in self.by_left.get(r.right[dot], ())]
             elif origin != here:
                 done = (r.left, origin, here, parts)
-                for (i, d, o), (w, p) in list(columns[origin].items()):
+                began = origins[origin]
+                for (i, d, o), (w, p) in list(began.column.items()):
                     if d < len(self.rules[i].right) and self.rules[i].right[d] == r.left:
+                        origins[o] = began if o == origin else began.origins[o]
                         new.append(((i, d + 1, o), (w + weight, (*p, done))))
             for k, v in new:
                 if k not in column or v[0] > column[k][0]:
                     column[k] = v
                     agenda.append(k)
-        node = Node(columns)
+        # Origins of finished items only are needed no more.
+        live = {o for i, d, o in column if d < len(self.rules[i].right)}
+        node.origins = {o: n for o, n in origins.items() if o in live}
         expects = {self.rules[i].right[d] for i, d, _ in column if d < len(self.rules[i].right)} - self.by_left.keys()
         node.expects = frozenset(expects - {REST})
         complete = [(w, (*p, (REST, here, here, ()))) for (i, d, o), (w, p) in column.items() if o == 0 and self.rules[i].left == self.start and d == len(self.rules[i].right) - 1 and self.rules[i].right[d] == REST]
@@ -81,17 +91,21 @@ class Earley:
     def step(self, node: Node, kind: str) -> Node | None:
         """The chart after one more token, from the trie or newly scanned."""
         if kind not in node.next:
-            here = len(node.columns) - 1
-            scanned = {}
-            for (i, d, o), (w, p) in node.columns[-1].items():
+            scanned, origins = {}, {}
+            for (i, d, o), (w, p) in node.column.items():
                 r = self.rules[i]
                 if d < len(r.right) and r.right[d] == kind:
-                    scanned[(i, d + 1, o)] = (w, (*p, (kind, here, here + 1, ())))
-            node.next[kind] = self._close([*node.columns, scanned]) if scanned else None
+                    scanned[(i, d + 1, o)] = (w, (*p, (kind, node.at, node.at + 1, ())))
+                    origins[o] = node if o == node.at else node.origins[o]
+            node.next[kind] = self._close(Node(node.at + 1, scanned, origins)) if scanned else None
+            self.nodes += 1
         return node.next[kind]
 
     def parse(self, line: str) -> tuple[tuple, list[tuple[str, str]], int] | None:
         """The best parse of a line as (parts, tokens, where the free text begins), or None if no header fits."""
+        if self.nodes > MOST:
+            self.root.next.clear()
+            self.nodes = 0
         node, at, tokens, best = self.root, 0, [], None
         while True:
             if node.best and (best is None or node.best[0] > best[0]):

@@ -1,8 +1,10 @@
 """Problem 6: semi-structured log lines into entries of timestamp, level, component and message.
 
 Every physical line is parsed on its own by a weighted context-free grammar (:mod:`folioscope.operators.earley`); a line
-that no header rule derives is an unparsed span and continues the entry before it. A ``{`` alone on its line opens an
-entry printed over several lines; its member lines are parsed one by one and merged.
+that no header rule derives is an unparsed span and continues the entry before it; :func:`unparsed` exposes these spans with
+their entries and :func:`messages` gives the text of entries with all their lines. A ``{`` alone on its line opens an
+entry printed over several lines; its member lines are parsed one by one and merged, those of the least indent only.
+Lines that begin with ``{`` are JSON, a terminal of its own that a JSON parser reads.
 
 Lines become entries by windows over blocks of ``BLOCK_LINES`` line numbers of a file, so that a file with a third of all
 lines is spread over many tasks. What crosses a block's end (the tail of its last entry) is settled over one summary row
@@ -69,7 +71,7 @@ GRAMMAR = grammar("""
 0 Part = WORD | LEVEL | NAME | FILEREF
 0 File = FILEREF
 1 Pairs2 = PairTime | PairTime SP Pairs | Pairs SP PairTime | Pairs SP PairTime SP Pairs
-0 Pairs = Pair | Pair SP Pairs
+0 Pairs = Pair | Pairs SP Pair
 0 Pair = PairLevel | PairPart | PairMessage | PairOther
 1 PairTime = TIMEKEY VALUE
 1 PairLevel = LEVELKEY VALUE
@@ -99,7 +101,7 @@ SCANNER = re.compile(
     re.VERBOSE,
 )
 WANTED = frozenset({"Klog", "KTime", "STime", "ATime", "ITime", "YTime", "Level", "Part", "File", "PairTime", "PairLevel", "PairPart", "PairMessage"})
-MEMBER = re.compile(r'^(?: {1,3}|\t)"((?:[^"\\]|\\.)*)"\s*:\s*(.*?)\s*,?\s*$')
+MEMBER = re.compile(r'^([ \t]+)"((?:[^"\\]|\\.)*)"\s*:\s*(.*?)\s*,?\s*$')
 MONTHS = {m: i for i, m in enumerate(("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"), 1)}
 _iso = re.compile(r"(\d{4})[-/](\d\d)[-/](\d\d)[T ](\d\d):(\d\d):(\d\d)(?:[.,](\d+))?\s*(Z|[+-]\d\d:?\d\d)?$")
 _year = re.compile(r"(?:^|\D)(\d{4})-\d\d-\d\d(?:\D|$)")
@@ -170,7 +172,11 @@ def record_fields(record: dict) -> tuple[int | None, str, str, str]:
 
 
 def parse_line(line: str | None, year: int | None) -> tuple[str, int | None, str, str, str]:
-    """(kind, ts_ms, level, component, message): kind is start, open, member, close or rest."""
+    """(kind, ts_ms, level, component, message): kind is start, open, member, close or rest.
+
+    A member line of an object that is printed over several lines has a value that is a string, number, boolean or null
+    on it, or one that only opens there and gives no fields.
+    """
     none = (None, "", "", "")
     if line is None or not line.strip():
         return ("rest", *none)
@@ -185,12 +191,12 @@ def parse_line(line: str | None, year: int | None) -> tuple[str, int | None, str
         return ("start", ms, level, part, message) if ms is not None else ("rest", *none)
     if line[0] in " \t":
         m = MEMBER.match(line)
-        if m:
-            try:
-                return ("member", *record_fields({m[1]: json.loads(m[2], parse_float=str)}))
-            except (ValueError, RecursionError):
-                pass
-        return ("rest", *none)
+        if m is None:
+            return ("rest", *none)
+        try:
+            return ("member", *record_fields({m[2]: json.loads(m[3], parse_float=str)}))
+        except (ValueError, RecursionError):
+            return ("member", *none)
     if line.strip() == "}":
         return ("close", *none)
     got = parser().parse(line)
@@ -223,7 +229,13 @@ def parse_line(line: str | None, year: int | None) -> tuple[str, int | None, str
     return ("start", ms, level, part, line[rest:]) if ms is not None else ("rest", *none)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def member_place(line: str) -> tuple[int, int]:
+    """(indent, rank) of a member line: of several keys for one field the more telling counts."""
+    m = MEMBER.match(line)
+    return len(m[1]), next((keys.index(m[2]) for keys in (TIME_KEYS, LEVEL_KEYS, PART_KEYS, MESSAGE_KEYS) if m[2] in keys), 99)
+
+
+def _parse(batches: Iterator[pa.RecordBatch], raw_too: bool = False) -> Iterator[pa.RecordBatch]:
     years: dict[str, int | None] = {}
     for batch in batches:
         files, raws, imported = (batch.column(i).to_pylist() for i in (0, 2, 3))
@@ -235,36 +247,74 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 year = years[f] = int(m[1]) if m else None
             rows.append(parse_line(raw, year if year is not None else at))
         kinds, ms, level, part, message = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(ms, pa.int64()), pa.array(level, pa.string()), pa.array(part, pa.string()), pa.array(message, pa.string())], names=["log_file", "line_no", "kind", "ts_ms", "level", "component", "message"])
+        places = [member_place(raw) if kind == "member" else (None, None) for kind, raw in zip(kinds, raws, strict=True)]
+        columns = [pa.array(kinds, pa.string()), pa.array(ms, pa.int64()), pa.array(level, pa.string()), pa.array(part, pa.string()), pa.array(message, pa.string()), *(pa.array([p[i] for p in places], pa.int32()) for i in (0, 1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *([batch.column(2)] if raw_too else [])], names=["log_file", "line_no", "kind", "ts_ms", "level", "component", "message", "indent", "rank", *(["raw"] if raw_too else [])])
 
 
-def parsed_lines(log: DataFrame) -> DataFrame:
-    """Each physical line with its kind and fields: a narrow stage, no shuffle."""
+def parsed_lines(log: DataFrame, raw_too: bool = False) -> DataFrame:
+    """Each physical line with its kind and fields, and itself if asked for: a narrow stage, no shuffle."""
     used = log.select("log_file", "line_no", "raw", F.year("imported_at").cast("int").alias("year")).where("log_file IS NOT NULL AND line_no IS NOT NULL")
-    return used.mapInArrow(_parse, "log_file string, line_no long, kind string, ts_ms long, level string, component string, message string")
+    return used.mapInArrow(lambda batches: _parse(batches, raw_too), "log_file string, line_no long, kind string, ts_ms long, level string, component string, message string, indent int, rank int" + (", raw string" if raw_too else ""))
+
+
+def _in_blocks(lines: DataFrame) -> DataFrame:
+    """Lines with their block and the line that their entry begins with, if it begins in the same block."""
+    lines = lines.withColumn("block", F.floor(F.col("line_no") / BLOCK_LINES))
+    w = Window.partitionBy("log_file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("first_line", F.max(F.when(F.col("kind").isin("start", "open"), F.col("line_no"))).over(w))
+
+
+def _block_ends(segments: DataFrame) -> DataFrame:
+    """One row a block: the entry that is open at its end, and the one that is carried into it from the blocks before."""
+    ends = segments.groupBy("log_file", "block").agg(F.max("first_line").alias("open_at_end"))
+    before = Window.partitionBy("log_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select("log_file", "block", "open_at_end", F.last("open_at_end", ignorenulls=True).over(before).alias("carried"))
 
 
 def found(log: DataFrame, message: bool = False) -> DataFrame:
     """(log_file, first_line, last_line, ts_ms, level, component) of each entry; with ``message`` its first line's text too."""
-    lines = parsed_lines(log)
     fields = ["ts_ms", "level", "component", *(["message"] if message else [])]
-    lines = lines.select("log_file", "line_no", "kind", *fields, F.floor(F.col("line_no") / BLOCK_LINES).alias("block"))
-    w = Window.partitionBy("log_file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.when(F.col("kind").isin("start", "open"), F.col("line_no"))
-    lines = lines.withColumn("first_line", F.max(first).over(w))
-    best = lambda c, kind: F.max(F.when((F.col("kind") == kind) & (F.col(c).cast("string") != ""), F.col(c)))
+    lines = _in_blocks(parsed_lines(log).select("log_file", "line_no", "kind", "indent", "rank", *fields))
+    said = lambda c, kind: (F.col("kind") == kind) & (F.col(c).cast("string") != "")
     segments = lines.groupBy("log_file", "block", "first_line").agg(
-        F.max("line_no").alias("last_line"), F.max(F.when(F.col("line_no") == F.col("first_line"), F.col("kind"))).alias("kind"),
-        *[best(c, "start").alias(c) for c in fields], *[best(c, "member").alias(f"m_{c}") for c in fields],
+        F.max("line_no").alias("last_line"), F.max(F.when(F.col("line_no") == F.col("first_line"), F.col("kind"))).alias("kind"), F.min(F.when(F.col("kind") == "member", F.col("indent"))).alias("indent"),
+        *[F.max(F.when(said(c, "start"), F.col(c))).alias(c) for c in fields], *[F.min(F.when(said(c, "member"), F.struct("indent", "rank", "line_no", c))).alias(f"m_{c}") for c in fields],
     )
     segments = stored(segments, "log-segments")  # about a row an entry; read three times below
-    # One row a block: the entry that is open at its end, for the lines before the first entry of the blocks after it.
-    ends = segments.groupBy("log_file", "block").agg(F.max("first_line").alias("open_at_end"))
-    before = Window.partitionBy("log_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("log_file", "block", "open_at_end", F.last("open_at_end", ignorenulls=True).over(before).alias("carried"))
-    owned = segments.join(ends, ["log_file", "block"]).withColumn("owner", F.coalesce("first_line", "carried")).where("owner IS NOT NULL")
+    owned = segments.join(_block_ends(segments), ["log_file", "block"]).withColumn("owner", F.coalesce("first_line", "carried")).where("owner IS NOT NULL")
     edge = F.col("first_line").isNull() | (F.col("first_line") == F.col("open_at_end"))
-    merged = owned.where(edge).groupBy("log_file", F.col("owner").alias("first_line")).agg(*[F.max(c).alias(c) for c in ("last_line", "kind", *fields, *(f"m_{c}" for c in fields))])
-    inner = owned.where(~edge).select("log_file", "first_line", "last_line", "kind", *fields, *(f"m_{c}" for c in fields))
-    pick = lambda c: F.when(F.col("kind") == "open", F.col(f"m_{c}")).otherwise(F.col(c))
+    least = ["indent", *(f"m_{c}" for c in fields)]
+    merged = owned.where(edge).groupBy("log_file", F.col("owner").alias("first_line")).agg(*[F.max(c).alias(c) for c in ("last_line", "kind", *fields)], *[F.min(c).alias(c) for c in least])
+    inner = owned.where(~edge).select("log_file", "first_line", "last_line", "kind", *fields, *least)
+    pick = lambda c: F.when(F.col("kind") == "open", F.when(F.col(f"m_{c}.indent") == F.col("indent"), F.col(f"m_{c}.{c}"))).otherwise(F.col(c))
     return inner.unionByName(merged).select("log_file", "first_line", "last_line", pick("ts_ms").alias("ts_ms"), *[F.coalesce(pick(c), F.lit("")).alias(c) for c in fields[1:]])
+
+
+def owned_lines(log: DataFrame) -> DataFrame:
+    """(log_file, line_no, kind, block, first_line, text): every line once with the entry that it belongs to, null before a file's first.
+
+    The text of a header line is its message, that of any other the line itself.
+    """
+    text = F.when((F.col("kind") == "start") & ~F.coalesce(F.ltrim("raw").startswith("{"), F.lit(False)), F.col("message")).otherwise(F.col("raw"))
+    lines = stored(_in_blocks(parsed_lines(log, True).select("log_file", "line_no", "kind", text.alias("text"))), "log-lines")
+    ends = _block_ends(lines).select("log_file", "block", "carried")  # a row a block
+    owned = lines.join(ends, ["log_file", "block"])
+    return owned.select("log_file", "line_no", "kind", "block", F.coalesce("first_line", "carried").alias("first_line"), "text")
+
+
+def unparsed(log: DataFrame) -> DataFrame:
+    """(log_file, line_no, first_line, text): the lines that no header rule and no member rule derives, with their entry; blank ones are left out."""
+    return owned_lines(log).where("kind = 'rest' AND trim(text) <> ''").select("log_file", "line_no", "first_line", "text").distinct()
+
+
+def messages(log: DataFrame) -> DataFrame:
+    """(log_file, first_line, part, n_lines, message): the text of each entry with all its lines.
+
+    An entry that goes on into the next block of ``BLOCK_LINES`` lines has a further part there, so that no row grows with
+    its entry.
+    """
+    lines = owned_lines(log).where("first_line IS NOT NULL")
+    part = (F.col("block") - F.floor(F.col("first_line") / BLOCK_LINES)).cast("long")
+    g = lines.groupBy("log_file", "first_line", part.alias("part")).agg(F.array_sort(F.collect_set(F.struct("line_no", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    return g.select("log_file", "first_line", "part", F.size("t").cast("long").alias("n_lines"), F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("message"))

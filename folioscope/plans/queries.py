@@ -24,6 +24,8 @@ QUERIES = {
     "p3_pages": lambda spark, d: drift.pages(table(spark, d, "page_files")),
     "p6_found": lambda spark, d: logparse.found(table(spark, d, "log_events")),
     "p6_entries": lambda spark, d: logparse.found(table(spark, d, "log_events"), message=True),
+    "p6_messages": lambda spark, d: logparse.messages(table(spark, d, "log_events")),
+    "p6_unparsed": lambda spark, d: logparse.unparsed(table(spark, d, "log_events")),
     **reference.QUERIES,
 }
 ORACLES: dict[str, str] = {**reference.ORACLES}

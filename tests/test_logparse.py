@@ -60,6 +60,46 @@ def test_messages_years_and_empty(spark):
     assert logparse.found(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [100_000, 3])
+def test_all_lines_of_entries_and_unparsed_spans(spark, monkeypatch, block):
+    monkeypatch.setattr(logparse, "BLOCK_LINES", block)
+    df = frame(spark, LINES)
+    df = df.unionByName(df)
+    assert rows(logparse.unparsed(df), "line_no", "first_line", "text") == sorted([(1, None, LINES[0]), (3, 2, "Traceback"), (4, 2, "  {"), (6, 2, "  }"), (13, 8, "after"), (16, 14, "last")], key=repr)
+    parts = logparse.messages(df).orderBy("first_line", "part").collect()
+    whole = {}
+    for r in parts:
+        whole.setdefault(r.first_line, []).append(r.message)
+    assert {k: "\n".join(v) for k, v in whole.items()} == {2: "INFO x\n" + "\n".join(LINES[2:6]), 7: "took 1s", 8: "\n".join(LINES[7:13]), 14: "page 3\n\nlast"}
+    assert sum(r.n_lines for r in parts) == 15 and (len(parts) == 4) == (block > 3)
+    assert logparse.messages(df.where("false")).count() == 0
+
+
+def test_objects_of_any_indent_and_with_nested_members(spark):
+    lines = ["{", '    "error": {', '        "level": "debug",', '        "time": "2020-01-11T14:18:16.308Z"', "    },", '    "ts": 3,', '    "time": "2026-01-11T14:18:16.308Z",', '    "level": "error"', "}"]
+    for fill in ("    ", "\t", " "):
+        got = logparse.found(frame(spark, [x.replace("    ", fill) for x in lines])).collect()
+        assert [(r.ts_ms, r.level, r.component) for r in got] == [(T, "error", "")]
+
+
+def test_long_lines_of_pairs_take_no_time_and_the_trie_is_bounded(monkeypatch):
+    import time
+
+    from folioscope.operators import earley
+
+    monkeypatch.setattr(earley, "MOST", 2000)
+    p = Earley(logparse.GRAMMAR, "Line", logparse.SCANNER)
+    for n in (50, 400, 3200):
+        line = " ".join([f"k{i}=v" for i in range(n)]) + " time=2026-01-11T14:18:16.308Z " + " ".join([f"k{i}=v" for i in range(n)]) + " level=warn"
+        began = time.perf_counter()
+        parts, tokens, rest = p.parse(line)
+        took = time.perf_counter() - began
+        spans = logparse.slots(parts, logparse.WANTED)
+        assert rest == len(line) and {"PairTime", "PairLevel"} <= spans.keys() and took < 5
+    p.parse("x")
+    assert p.nodes < 2000
+
+
 def test_the_heavier_reading_wins():
     import re
 
