@@ -67,6 +67,20 @@ def image_index(files: DataFrame, path: str = "path") -> DataFrame:
     return discovered(files, path=path).where("page > 0").groupBy("page").agg(F.min("path").alias("path"))
 
 
+def folder_index(files: DataFrame, path: str = "path") -> DataFrame:
+    """(folder, page, path): the same for the images of many folders, each by itself."""
+    p = discovered(files, path=path).where("page > 0").withColumn("folder", F.regexp_replace("path", r"/?[^/]*\z", ""))
+    return p.groupBy("folder", "page").agg(F.min("path").alias("path"))
+
+
+def ordered_pages(files: DataFrame, first: int = 0, last: int = 0, path: str = "path") -> DataFrame:
+    """The image files by number and path; none in the range is an error, as it is for the tool that this stands in for."""
+    p = discovered(files, first, last, path).orderBy("page", "path")
+    if p.isEmpty():
+        raise ValueError("no page images in the range")
+    return p
+
+
 def assembled(pages: DataFrame, book: str, page: str, text: Column, separator: str = "\n") -> DataFrame:
     """(book, part, n_pages, markdown): the pages of a book in order, in parts of PART_PAGES that follow one another."""
     part = F.floor((F.col(page) - 1) / PART_PAGES).cast("long")

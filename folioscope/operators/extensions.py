@@ -144,3 +144,35 @@ def classified(pages: DataFrame, classify: Callable[[dict], tuple[str, str]], st
 
     p = pages.select(*columns)
     return p.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema) + ", page_type string, strategy string, error_code string")
+
+
+def book_warnings(pages: DataFrame, validate: Callable[[dict], list[dict]], name: str, assembled_path: str = "") -> DataFrame:
+    """(book_id, code, message, retryable): warnings of a bound book validator, which is given the book's page numbers and the path of its assembly.
+
+    Numbers, not texts, are gathered by book. An error of the validator is a warning ``plugin_error`` that says whether to try again.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.to_dict("records"):
+                try:
+                    found = [(w, False) for w in validate({"book_id": r["book_id"], "assembled_path": assembled_path, "page_numbers": [int(n) for n in r["page_numbers"]]}) or []]
+                except Exception as e:  # noqa: BLE001
+                    found = [({"code": "plugin_error", "message": str(e)}, retryable(e))]
+                rows += [(r["book_id"], str(w.get("code", "")), f"[plugin/{name}] {w.get('message', '')}", again) for w, again in found]
+            yield pd.DataFrame(rows, columns=["book_id", "code", "message", "retryable"])
+
+    books = pages.groupBy("book_id").agg(F.array_sort(F.collect_set("page_number")).alias("page_numbers"))
+    return books.mapInPandas(run, "book_id string, code string, message string, retryable boolean")
+
+
+def bindings(specs: list[str], known: dict[str, Callable]) -> dict[str, Callable]:
+    """Functions by seam from ``seam=name`` texts; an unknown seam, an unknown name or a second binding of a seam is an error."""
+    out: dict[str, Callable] = {}
+    for spec in specs:
+        seam, sep, name = (x.strip() for x in spec.partition("="))
+        if not sep or seam not in SEAMS or name not in known or seam in out:
+            raise ValueError(f"no binding: {spec!r}")
+        out[seam] = known[name]
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import PAGE_MARKER, list_line, rtrim_blank, trim_all
-from folioscope.operators.documents import split_pages
+from folioscope.operators.qa import pages_of
 
 
 def list_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,29 +31,38 @@ def documents(docs: DataFrame, list_pages: Sequence[int] | None, key: str = "doc
     Documents without page markers stay as they are. With ``leading_blank`` a document that begins with a marker gets an
     empty line before it, as the tool does that this one stands in for.
     """
-    p = split_pages(docs, key, text)
-    fixed, n = body(F.col("body"))
-    hit = F.lit(True) if list_pages is None else F.col("page").isin(list(list_pages))
-    p = p.select(key, "pos", "page", F.when(hit, fixed).otherwise(F.col("body")).alias("body"), F.when(hit, n).otherwise(0).alias("n"))
-    p = p.withColumn("md", F.concat(F.format_string("<!-- page:%03d -->\n\n", "page"), F.col("body"), F.lit("\n\n")))
-    a = p.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "md"))), lambda x: x["md"]), "").alias("pages"),
-        F.sum("n").alias("changed_lines"), F.array_sort(F.collect_set(F.when(F.col("n") > 0, F.col("page")))).alias("changed_pages"),
-    )
-    before = F.regexp_replace(F.element_at(F.split(text, PAGE_MARKER), 1), r"\n+\z", "")
+    t = F.col(text)
+
+    def rewritten(p: Column) -> Column:
+        fixed, n = body(p["body"])
+        hit = F.lit(True) if list_pages is None else F.coalesce(p["page"].isin(list(list_pages)), F.lit(False))
+        md = F.concat(F.format_string("<!-- page:%03d -->\n\n", p["page"]), F.when(hit, fixed).otherwise(p["body"]), F.lit("\n\n"))
+        return F.struct(p["page"].alias("page"), md.alias("md"), F.when(hit, n).otherwise(F.lit(0).cast("long")).alias("n"))
+
+    p = docs.where(t.isNotNull()).select(key, t.alias("__text"), F.transform(pages_of(t), rewritten).alias("p"))
+    before = F.regexp_replace(F.element_at(F.split("__text", PAGE_MARKER), 1), r"\n+\z", "")
     head = F.when(F.lit(leading_blank) | (before != ""), F.concat(before, F.lit("\n"))).otherwise("")
-    out = docs.where(F.col(text).isNotNull()).select(key, text, head.alias("head")).join(a, key, "left")
-    whole = F.concat(F.regexp_replace(F.concat("head", "pages"), r"\n+\z", ""), F.lit("\n"))
-    return out.select(key, F.coalesce(whole, F.col(text)).alias("markdown"), F.coalesce("changed_lines", F.lit(0)).alias("changed_lines"), F.coalesce("changed_pages", F.array().cast("array<int>")).alias("changed_pages"))
+    whole = F.concat(F.regexp_replace(F.concat(head, F.array_join(F.transform("p", lambda x: x["md"]), "")), r"\n+\z", ""), F.lit("\n"))
+    changed = F.array_sort(F.array_distinct(F.array_compact(F.transform("p", lambda x: F.when(x["n"] > 0, x["page"])))))
+    lines = F.aggregate("p", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    return p.select(key, F.when(F.size("p") > 0, whole).otherwise(F.col("__text")).alias("markdown"), lines.alias("changed_lines"), changed.alias("changed_pages"))
+
+
+def positional_changes(df: DataFrame, old: Column, new: Column, *keys: str) -> DataFrame:
+    """(keys, line_no, op, old_line, new_line) of two texts that stand in one row: no shuffle."""
+    pairs = F.zip_with(F.split(F.coalesce(old, F.lit("")), "\n"), F.split(F.coalesce(new, F.lit("")), "\n"), lambda a, b: F.struct(F.coalesce(a, F.lit("")).alias("o"), F.coalesce(b, F.lit("")).alias("n")))
+    x = df.select(*keys, F.posexplode(pairs).alias("i", "p")).where("p.o <> p.n")
+    op = F.when(F.col("p.o") == "", "+").when(F.col("p.n") == "", "-").otherwise("~")
+    return x.select(*keys, (F.col("i") + 1).alias("line_no"), op.alias("op"), F.col("p.o").alias("old_line"), F.col("p.n").alias("new_line"))
 
 
 def positional_diff(old: DataFrame, new: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_no, op, old_line, new_line) where line i of one text isn't line i of the other; '+' and '-' where one side has none."""
-    side = lambda df, name: df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("line_no", name))
-    j = side(old, "old_line").join(side(new, "new_line"), [key, "line_no"], "full_outer")
-    o, n = F.coalesce("old_line", F.lit("")), F.coalesce("new_line", F.lit(""))
-    op = F.when(o == "", "+").when(n == "", "-").otherwise("~")
-    return j.where(o != n).select(key, (F.col("line_no") + 1).alias("line_no"), op.alias("op"), o.alias("old_line"), n.alias("new_line"))
+    """(key, line_no, op, old_line, new_line) where line i of one text isn't line i of the other; '+' and '-' where one side has none.
+
+    Whole texts are joined by key, not lines; two texts of one row need no join (:func:`positional_changes`).
+    """
+    side = lambda df, name: df.where(F.col(text).isNotNull()).select(key, F.col(text).alias(name))
+    return positional_changes(side(old, "__old").join(side(new, "__new"), key, "full_outer"), F.col("__old"), F.col("__new"), key)
 
 
 def unified(diff: DataFrame, key: str = "doc_id") -> DataFrame:

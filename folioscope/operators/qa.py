@@ -4,40 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import BULLET_LINE, HEADING_LINE, PAGE_MARKER, count_of, trim_all
-from folioscope.operators.documents import page_lines, split_pages
+from folioscope.operators.documents import split_pages
 
 #: Cues of a diagram in a line.
 DIAGRAM_CUES = ("->", "<-", "---", "- -")
 
 
-def _finding(df: DataFrame, key: str, severity: str, code: str, page, line, message) -> DataFrame:
-    return df.select(key, F.lit(severity).alias("severity"), F.lit(code).alias("code"), page.cast("int").alias("page"), line.cast("int").alias("line"), message.alias("message"))
+def doubled_lines(lines: Column) -> Column:
+    """(line_no, line) of the lines equal to the one before but for white space at the ends, blank ones aside; one pass over the array."""
+    own = F.transform(lines, lambda s: trim_all(s))
+    pairs = F.zip_with(own, F.concat(F.array(F.lit(None).cast("string")), own), lambda s, before: F.struct(s.alias("line"), before.alias("before")))
+    numbered = F.transform(pairs, lambda x, i: F.struct((i + 1).alias("line_no"), x["line"].alias("line"), x["before"].alias("before")))
+    return F.filter(numbered, lambda x: (x["line"] != "") & (x["line"] == x["before"]))
+
+
+def pages_of(text: Column) -> Column:
+    """The pages of a text as an array of (page, body), in the order of its markers; within the row, without a shuffle."""
+    numbers = F.regexp_extract_all(text, F.lit(PAGE_MARKER), 1)
+    bodies = F.slice(F.split(text, PAGE_MARKER), F.lit(2), F.greatest(F.size(numbers), F.lit(0)))
+    return F.transform(F.arrays_zip(numbers.alias("page"), bodies.alias("body")), lambda p: F.struct(p["page"].try_cast("int").alias("page"), F.regexp_replace(p["body"], r"\A\n+|\n+\z", "").alias("body")))
 
 
 def adjacent_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, page, line_no, line): lines equal to the one before but for white space at the ends; a blank line parts them."""
-    lines = page_lines(split_pages(docs, key, text), key, "pos", "page").withColumn("line", trim_all(F.col("line")))
-    w = Window.partitionBy(key, "pos").orderBy("line_no")
-    return lines.withColumn("before", F.lag("line").over(w)).where("line <> '' AND line = before").select(key, "page", "line_no", "line")
+    p = split_pages(docs, key, text).select(key, "page", F.explode(doubled_lines(F.split("body", "\n"))).alias("x"))
+    return p.select(key, "page", "x.line_no", "x.line")
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As above over whole texts, for texts without page markers."""
-    lines = page_lines(docs.where(F.col(text).isNotNull()), key, text=text).withColumn("line", trim_all(F.col("line")))
-    w = Window.partitionBy(key).orderBy("line_no")
-    return lines.withColumn("before", F.lag("line").over(w)).where("line <> '' AND line = before").select(key, "line_no", "line")
+    return docs.where(F.col(text).isNotNull()).select(key, F.explode(doubled_lines(F.split(text, "\n"))).alias("x")).select(key, "x.line_no", "x.line")
 
 
-def line_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines, bullets, headings, table lines, fences, blanks and figure markers of each text."""
+def line_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", also: Sequence[str] = ()) -> DataFrame:
+    """Lines, bullets, headings, table lines, fences, blanks and figure markers of each text, beside other columns that are asked for."""
     lines = F.split(text, "\n")
     count = lambda test: F.size(F.filter(lines, test)).cast("long")
     return docs.where(F.col(text).isNotNull()).select(
-        key, F.size(lines).cast("long").alias("n_lines"), count(lambda s: s.rlike(BULLET_LINE)).alias("bullets"), count(lambda s: s.rlike(HEADING_LINE)).alias("headings"), count(lambda s: s.startswith("|")).alias("table_lines"),
+        key, *also, F.size(lines).cast("long").alias("n_lines"), count(lambda s: s.rlike(BULLET_LINE)).alias("bullets"), count(lambda s: s.rlike(HEADING_LINE)).alias("headings"), count(lambda s: s.startswith("|")).alias("table_lines"),
         count(lambda s: s.startswith("```")).alias("fences"), count(lambda s: F.trim(s) == "").alias("blanks"), count(lambda s: s.startswith("[FIGURE:")).alias("figures"), F.octet_length(text).cast("long").alias("n_bytes"),
     )
 
@@ -100,21 +108,28 @@ def diagram_cues(pages: DataFrame, *keys: str, text: str = "body") -> DataFrame:
 
 
 def report(docs: DataFrame, expected_pages: int, bad: Sequence[str], expected: Sequence[str], list_pages: Sequence[int] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All findings of the documents; ``list_pages`` None stands for every page."""
-    none = F.lit(None)
-    parts = [
-        _finding(continuity(docs, expected_pages, key, text).where("NOT continuous"), key, "error", "page_continuity", none, none, F.format_string(f"observed pages %s do not match expected 1..{expected_pages or 30}", F.array_join("observed", " "))),
-        _finding(known_bad_terms(docs, bad, key, text), key, "error", "known_bad_term", none, F.col("line"), F.format_string('known bad term "%s" found %d time(s)', "term", "hits")),
-        _finding(missing_strings(docs, expected, key, text), key, "error", "expected_string_missing", none, none, F.format_string('expected string "%s" is missing', "expected")),
-        _finding(adjacent_duplicates(docs, key, text), key, "error", "adjacent_duplicate_line", F.col("page"), F.col("line_no"), F.concat(F.lit("adjacent duplicate non-empty line: "), F.col("line"))),
-    ]
-    style = list_style(docs, list_pages, key, text)
-    for column, what in (("bullets", "bullet"), ("headings", "heading")):
-        parts.append(_finding(style.where(F.col(column) > 0), key, "warning", f"list_page_markdown_{column}", F.col("page"), none, F.format_string(f"list page has %d markdown {what} line(s)", column)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All findings of the documents, in one narrow pass; ``list_pages`` None stands for every page."""
+    t = F.col(text)
+    pages = pages_of(t)
+    lines = lambda p: F.split(p["body"], "\n")
+    count = lambda p, pattern: F.size(F.filter(lines(p), lambda s: s.rlike(pattern)))
+    null = F.lit(None).cast("int")
+    one = lambda severity, code, page, line, message: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), page.cast("int").alias("page"), line.cast("int").alias("line"), message.alias("message"))
+    none = F.array().cast("array<struct<severity:string,code:string,page:int,line:int,message:string>>")
+    n = expected_pages or 30
+    observed = F.transform(pages, lambda p: p["page"])
+    found = [F.array_compact(F.array(F.when(observed != F.sequence(F.lit(1), F.lit(n)), one("error", "page_continuity", null, null, F.format_string(f"observed pages %s do not match expected 1..{n}", F.array_join(observed, " "))))))] if n > 0 else []
+    for term in (b for b in bad if b):
+        before = F.substring(t, F.lit(1), F.instr(t, F.lit(term)) - 1)
+        at = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+        found.append(F.array_compact(F.array(F.when(count_of(t, term) > 0, one("error", "known_bad_term", null, at, F.format_string('known bad term "%s" found %d time(s)', F.lit(term), count_of(t, term)))))))
+    found += [F.array_compact(F.array(F.when(~F.contains(t, F.lit(e)), one("error", "expected_string_missing", null, null, F.lit(f'expected string "{e}" is missing'))))) for e in expected]
+    found.append(F.flatten(F.transform(pages, lambda p: F.transform(doubled_lines(lines(p)), lambda x: one("error", "adjacent_duplicate_line", p["page"], x["line_no"], F.concat(F.lit("adjacent duplicate non-empty line: "), x["line"]))))))
+    listed = pages if list_pages is None else F.filter(pages, lambda p: p["page"].isin(list(list_pages)))
+    style = lambda p, what, pattern: F.when(count(p, pattern) > 0, one("warning", f"list_page_markdown_{what}s", p["page"], null, F.format_string(f"list page has %d markdown {what} line(s)", count(p, pattern))))
+    found.append(F.flatten(F.transform(listed, lambda p: F.array_compact(F.array(style(p, "bullet", BULLET_LINE), style(p, "heading", HEADING_LINE))))))
+    rows = F.concat(*[F.coalesce(x, none) for x in found])
+    return docs.where(t.isNotNull()).select(key, F.inline(rows))
 
 
 def passed(docs: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import LEADER_LINE, SPACED_PAGE_LINE, normalize_space
-from folioscope.operators import answers, documents, figures, logs, nested, normalize, profiles, projection, qa, render, trials, validate
+from folioscope.functions.text import LEADER_LINE, SPACED_PAGE_LINE, last_number, list_line, normalize_space
+from folioscope.operators import answers, documents, figures, logs, nested, normalize, profiles, projection, qa, render, reports, trials, validate
 from folioscope.operators.drift import CASTS, DEFAULTS, RENAMES
 from folioscope.sources.tables import one_per_key, table
 
@@ -40,19 +40,49 @@ def _markdown(spark, d):
     return documents.assembled(_pages(spark, d), "book_id", "page_number", F.concat(F.format_string("<!-- page:%03d -->\n\n", "page_number"), text))
 
 
+KINDS = ("page_markdown", "page_text", "qa_report")
+
+
+def _page_text(spark, d):
+    none = F.array().cast(table(spark, d, "ocr_pages").schema["blocks"].dataType)
+    return F.array_join(F.filter(F.transform(F.coalesce("blocks", none), lambda b: b["text"]), lambda t: t.isNotNull()), "\n\n")
+
+
+def _images(spark, d):
+    """(book_id, page, path) of the page images that the projection knows."""
+    paths = table(spark, d, "structured_pages").where("image_path IS NOT NULL").select("book_id", F.col("image_path").alias("path")).distinct()
+    return paths.select("book_id", last_number(F.element_at(F.split("path", "/"), -1)).alias("page"), "path").where("page IS NOT NULL")
+
+
+def _figure_lines(spark, d):
+    """Figure markers of the documents that name their book, with their page."""
+    docs = table(spark, d, "documents").where("book_id IS NOT NULL").select("doc_id", "book_id", "text")
+    lines = documents.page_lines(documents.split_pages(docs).join(docs.select("doc_id", "book_id"), "doc_id"), "doc_id", "book_id", "page")
+    return lines.where("line LIKE '[FIGURE:%'").select("doc_id", "book_id", "page", "line_no")
+
+
+def _answers(spark, d):
+    return one_per_key(table(spark, d, "prompt_pairs"), ["pair_id"], [F.col("received_at").asc_nulls_last()]).select("pair_id", F.col("page_number").alias("target_page"), "raw_response")
+
+
+def _oracle(spark):
+    """What pages must and must not say: of pages that the tables have and of those of the presets."""
+    rows = [(1, ["the"], ["sextant"], [], ["Figure 1-1: "]), (2, ["page"], [], [], []), *((p, [f"page {p:03d}"], [], [f"Figure {p}-1: Plate"], [f"Figure {p + 1}-1: Next plate"]) for p in trials.PRESETS["figure-adjacent"])]
+    return spark.createDataFrame(rows, "target_page int, expected array<string>, forbidden array<string>, expected_captions array<string>, forbidden_captions array<string>")
+
+
 def _phrases(spark):
     return spark.createDataFrame(PHRASES, "phrase string, kind string")
 
 
-def _normalized(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "text")
-    from folioscope.functions.text import list_line
-
-    return t.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda s: list_line(s)), "\n").alias("text"))
+def _normalized():
+    return F.array_join(F.transform(F.split("text", "\n"), lambda line: list_line(line)), "\n")
 
 
 def _known_types(spark, d):
-    return _pages(spark, d).select("book_id", F.col("page_number").alias("page"), F.lit("body").alias("known")).distinct()
+    """The page types that the projection's counts say."""
+    known = F.when(F.col("figure_count") > 0, "figure").when(F.col("table_count") > 0, "table").otherwise("body")
+    return projection.latest(table(spark, d, "structured_pages")).select("book_id", F.col("page_num").alias("page"), known.alias("known"))
 
 
 QUERIES = {
@@ -60,7 +90,7 @@ QUERIES = {
     "page_duplicate_lines": lambda s, d: qa.adjacent_duplicates(table(s, d, "documents")),
     "document_pages": lambda s, d: documents.split_pages(table(s, d, "documents")).select("doc_id", "pos", "page", F.octet_length("body").cast("long").alias("n_bytes")),
     "line_stats": lambda s, d: qa.line_stats(table(s, d, "documents")),
-    "variant_comparison": lambda s, d: qa.line_stats(table(s, d, "documents")).join(table(s, d, "documents").select("doc_id", "kind"), "doc_id").groupBy("kind").agg(F.count("*").alias("documents"), *[F.sum(c).alias(c) for c in ("n_bytes", "headings", "figures", "table_lines", "fences", "blanks")]),
+    "variant_comparison": lambda s, d: qa.line_stats(table(s, d, "documents"), also=["kind"]).groupBy("kind").agg(F.count("*").alias("documents"), *[F.sum(c).alias(c) for c in ("n_bytes", "headings", "figures", "table_lines", "fences", "blanks")]),
     "known_bad_terms": lambda s, d: qa.known_bad_terms(table(s, d, "documents"), TERMS),
     "missing_strings": lambda s, d: qa.missing_strings(table(s, d, "documents"), EXPECTED),
     "document_continuity": lambda s, d: qa.continuity(table(s, d, "documents"), 1).select("doc_id", F.size("observed").cast("long").alias("n_markers"), "continuous"),
@@ -71,7 +101,7 @@ QUERIES = {
     "qa_passed": lambda s, d: qa.passed(table(s, d, "documents"), qa.report(table(s, d, "documents"), -1, TERMS, EXPECTED, None)),
     "normalize_list_lines": lambda s, d: normalize.list_lines(table(s, d, "documents")),
     "normalized_documents": lambda s, d: normalize.documents(table(s, d, "documents"), None),
-    "positional_diff": lambda s, d: normalize.positional_diff(table(s, d, "documents").select("doc_id", "text"), _normalized(s, d)),
+    "positional_diff": lambda s, d: normalize.positional_changes(table(s, d, "documents").where("text IS NOT NULL"), F.col("text"), _normalized(), "doc_id"),
     "captions_distinct": lambda s, d: _captions(s, d).groupBy("book_id", "norm").agg(F.min(F.struct("page_number", "block_no", "caption")).alias("f"), F.count("*").alias("n")).select("book_id", "norm", F.col("f.caption").alias("caption"), "n"),
     "adjacent_captions": lambda s, d: documents.adjacent_keys(_captions(s, d), "book_id", "page_number", "norm"),
     "anchor_hits": lambda s, d: validate.anchors(table(s, d, "documents").select("doc_id", "text"), _phrases(s), "doc_id").drop("missing"),
@@ -80,7 +110,7 @@ QUERIES = {
     "warning_codes": lambda s, d: projection.warning_counts(_pages(s, d).select(F.explode(F.concat(F.coalesce("warnings", F.array().cast("array<struct<code:string,message:string,block_id:string>>")), F.coalesce(F.flatten(F.transform("blocks", lambda b: F.coalesce(b["warnings"], F.array().cast("array<struct<code:string,message:string,block_id:string>>")))), F.array().cast("array<struct<code:string,message:string,block_id:string>>")))).alias("w")).where("w IS NOT NULL").select("w.code")),
     "context_neighbours": lambda s, d: documents.neighbours(table(s, d, "ocr_pages"), 2),
     "discovered_pages": lambda s, d: documents.discovered(table(s, d, "structured_pages").select(F.col("image_path").alias("path")).distinct(), 2, 10),
-    "image_index": lambda s, d: documents.image_index(table(s, d, "structured_pages").select(F.col("image_path").alias("path"))),
+    "image_index": lambda s, d: documents.folder_index(table(s, d, "structured_pages").select(F.col("image_path").alias("path"))),
     "assembled_markdown": lambda s, d: _markdown(s, d).select("book_id", "part", "n_pages", F.md5("markdown").alias("md5")),
     "rendered_pages": lambda s, d: _pages(s, d).where("page_number IS NOT NULL").select("page_id", render.markdown(F.struct("page_number", "page_type", "blocks")).alias("markdown")),
     "figure_markers": lambda s, d: figures.markers(figures.marked(table(s, d, "documents"))),
@@ -95,8 +125,24 @@ QUERIES = {
     "logical_trials": lambda s, d: trials.logical(_trials(s, d), ["book_id", "target_page", "scenario"], ["run_id", "seq", "id"], trials.rank()).select("book_id", "target_page", "scenario", "run_id", "id"),
     "trial_replacements": lambda s, d: trials.replacements(_trials(s, d), ["book_id", "target_page", "scenario"], ["run_id", "seq", "id"], trials.rank()),
     "run_summary": lambda s, d: trials.run_summary(_trials(s, d)),
-    "scenario_report": lambda s, d: trials.grouped_report(_trials(s, d), "scenario"),
-    "page_report": lambda s, d: trials.grouped_report(_trials(s, d), "target_page"),
+    "scenario_report": lambda s, d: reports.by_group(reports.logical(_trials(s, d)), "scenario"),
+    "page_report": lambda s, d: reports.by_group(reports.logical(_trials(s, d)), "book_id", "target_page"),
+    "report_totals": lambda s, d: reports.totals(reports.logical(_trials(s, d))),
+    "low_trials": lambda s, d: reports.low(reports.logical(_trials(s, d))).select("book_id", "target_page", "scenario", "run_id", "id", "forbidden", "score"),
+    "report_markdown": lambda s, d: reports.report_markdown(_trials(s, d)),
+    "rescored_trials": lambda s, d: reports.rescored(_answers(s, d), _oracle(s)).select("pair_id", "target_page", "status", "error", "parsed.strategy", "parsed.schema_repaired", F.col("parsed.target_page").alias("answered_page"), "expected_hits", "expected_total", "forbidden_hits", "caption_hits", "bleed", "score"),
+    "dry_trials": lambda s, d: reports.rescored(reports.dry_answers(trials.plan(s, trials.PRESETS["figure-adjacent"], trials.SCENARIOS), _oracle(s)), _oracle(s)).select("trial_id", "target_page", "scenario", "status", "expected_hits", "forbidden_hits", "bleed", "score"),
+    "trial_prompts": lambda s, d: reports.prompt_texts(trials.plan(s, trials.PRESETS["figure-adjacent"], trials.SCENARIOS), TERMS).select("trial_id", "target_page", "scenario", "user_prompt", F.array_join("images", "|").alias("images")),
+    "dry_pages": lambda s, d: reports.dry_markdown(_pages(s, d).where("page_number IS NOT NULL").select("page_id", "page_number", "book_id", F.format_string("page_%03d.png", "page_number").alias("path"), F.lit(0).alias("length"))).select("page_id", "markdown"),
+    "qa_markdown": lambda s, d: reports.qa_markdown(table(s, d, "documents"), -1, TERMS, EXPECTED).select("doc_id", "markdown"),
+    "text_layer_blocks": lambda s, d: reports.text_layer_blocks(table(s, d, "documents"), "doc_id"),
+    "variant_pages": lambda s, d: reports.variants_by_page(table(s, d, "documents"), KINDS),
+    "marker_images": lambda s, d: reports.page_images(_figure_lines(s, d), _images(s, d)).select("doc_id", "book_id", "page", "line_no", "path", "found"),
+    "legacy_assembly": lambda s, d: reports.legacy_assembly(_pages(s, d), "book_id", "page_number", _page_text(s, d)).select("book_id", "part", "n_pages", F.md5("markdown").alias("md5")),
+    "run_results": lambda s, d: reports.results_of_runs(table(s, d, "benchmark_trials"), table(s, d, "prompt_pairs")),
+    "error_classes": lambda s, d: reports.error_classes(table(s, d, "structured_pages").distinct()).groupBy("class", "retryable").agg(F.count("*").alias("n")),
+    "draft_profiles": lambda s, d: reports.draft_profiles(_images(s, d)),
+    "all_list_pages": lambda s, d: qa.list_style(table(s, d, "documents"), None).select("doc_id", "page", "bullets", "headings", F.array_join("heading_samples", "|").alias("samples")),
     "notable_trials": lambda s, d: trials.notable(_trials(s, d)).select("run_id", "id"),
     "turn_counts": lambda s, d: table(s, d, "prompt_pairs").groupBy("run_id").agg(F.countDistinct("pair_id").alias("turns")),
     "latest_pages": lambda s, d: projection.latest(table(s, d, "structured_pages")).select("book_id", "page_num", "status", "updated_at"),
@@ -105,7 +151,7 @@ QUERIES = {
     "short_pages": lambda s, d: validate.short_pages(projection.latest(table(s, d, "structured_pages")), 800),
     "listed_pages": lambda s, d: projection.listed(projection.latest(table(s, d, "structured_pages")), "bk-gazette", "succeeded", 20).select("book_id", "page_num", "status"),
     "page_errors": lambda s, d: projection.errors(projection.latest(table(s, d, "structured_pages"))),
-    "book_report": lambda s, d: validate.book_report(_pages(s, d), projection.latest(table(s, d, "structured_pages")), documents.adjacent_keys(_captions(s, d), "book_id", "page_number", "norm"), _pages(s, d).groupBy("book_id").agg(F.max("page_number").cast("long").alias("expected_pages")), 800),
+    "book_report": lambda s, d: validate.book_report(_pages(s, d), projection.latest(table(s, d, "structured_pages")), documents.adjacent_keys(_captions(s, d), "book_id", "page_number", "norm"), reports.draft_profiles(_images(s, d)).select("book_id", "expected_pages"), 800),
     "type_patch": lambda s, d: profiles.type_patch(_pages(s, d).select("book_id", F.col("page_number").alias("page"), F.col("page_type").alias("inferred"), F.col("attempt").alias("seq")), _known_types(s, d)),
     "log_levels": lambda s, d: logs.level_counts(one_per_key(table(s, d, "log_events"), ["log_file", "line_no"], [F.col("imported_at").asc_nulls_last()])),
     "log_totals": lambda s, d: logs.counts(one_per_key(table(s, d, "log_events"), ["log_file", "line_no"], [F.col("imported_at").asc_nulls_last()])),
@@ -137,8 +183,10 @@ _TRIALS = """
 _LATEST = """s AS (SELECT * FROM structured_pages QUALIFY row_number() OVER (PARTITION BY book_id, page_num
   ORDER BY updated_at DESC NULLS LAST, coalesce(list_position(['pending', 'running', 'failed', 'succeeded'], status), 0) DESC) = 1)"""
 _LOG = "l AS (SELECT * FROM log_events QUALIFY row_number() OVER (PARTITION BY log_file, line_no ORDER BY imported_at NULLS LAST) = 1)"
-_REPORT = """count(*) AS trials, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (json_parse_ok) AS parse_ok, count(*) FILTER (suspected_bleed) AS bleed, count(*) FILTER (schema_repaired) AS schema_repaired,
-  CAST(coalesce(sum(forbidden_phrase_hits), 0) AS BIGINT) AS forbidden_hits, round(avg(coalesce(target_only_score, 0)), 6) AS avg_score, round(least(1.0, min(coalesce(target_only_score, 0))), 6) AS min_score"""
+_LOGICAL = """g AS (SELECT *, CAST(coalesce(forbidden_phrase_hits, 0) + coalesce(forbidden_caption_hits, 0) AS BIGINT) AS forbidden, coalesce(target_only_score, 0) AS score FROM ranked
+    QUALIFY row_number() OVER (PARTITION BY book_id, target_page, scenario ORDER BY rk DESC, run_id NULLS FIRST, seq NULLS FIRST, id NULLS FIRST) = 1)"""
+_SUMS = "count(*) AS trials, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (json_parse_ok) AS parse_ok, count(*) FILTER (suspected_bleed) AS bleed, CAST(coalesce(sum(forbidden), 0) AS BIGINT) AS forbidden_hits, round(coalesce(avg(score), 0), 6) AS avg_score"
+_LEAST = "count(*) FILTER (schema_repaired) AS schema_repaired, round(least(1.0, min(score)), 6) AS min_score"
 
 
 def _q(text: str) -> str:
@@ -191,14 +239,28 @@ ORACLES = {
     "warning_codes": f"WITH {_BLOCKS} SELECT w.code AS code, count(*) AS n FROM (SELECT unnest(warnings) AS w FROM p UNION ALL SELECT unnest(b.warnings) AS w FROM b) WHERE w IS NOT NULL GROUP BY w.code",
     "context_neighbours": "WITH n AS (SELECT DISTINCT book_id, page_number FROM ocr_pages) SELECT a.book_id, a.page_number, CASE WHEN b.page_number < a.page_number THEN 'previous' ELSE 'next' END AS side, b.page_number AS neighbour FROM n a JOIN n b ON a.book_id = b.book_id AND b.page_number BETWEEN a.page_number - 2 AND a.page_number + 2 AND b.page_number <> a.page_number",
     "discovered_pages": "WITH f AS (SELECT DISTINCT image_path AS path FROM structured_pages), n AS (SELECT TRY_CAST(regexp_extract_all(string_split(path, '/')[-1], '\\d+')[-1] AS INT) AS page, path FROM f) SELECT page, path FROM n WHERE page BETWEEN 2 AND 10",
-    "image_index": "WITH n AS (SELECT TRY_CAST(regexp_extract_all(string_split(image_path, '/')[-1], '\\d+')[-1] AS INT) AS page, image_path AS path FROM structured_pages) SELECT page, min(path) AS path FROM n WHERE page > 0 GROUP BY page",
+    "image_index": "WITH n AS (SELECT TRY_CAST(regexp_extract_all(string_split(image_path, '/')[-1], '\\d+')[-1] AS INT) AS page, image_path AS path, regexp_replace(image_path, '/?[^/]*$', '') AS folder FROM structured_pages) SELECT folder, page, min(path) AS path FROM n WHERE page > 0 GROUP BY folder, page",
     "assembled_markdown": f"WITH {_PAGES}, t AS (SELECT book_id, page_number, CAST(floor((page_number - 1) / 200) AS BIGINT) AS part, printf('<!-- page:%03d -->', page_number) || chr(10) || chr(10) || coalesce(array_to_string(list_filter(list_transform(blocks, lambda x: x.text), lambda y: y IS NOT NULL), chr(10) || chr(10)), '') AS t FROM p) SELECT book_id, part, count(*) AS n_pages, md5(string_agg(t, chr(10) ORDER BY page_number, t)) AS md5 FROM t GROUP BY book_id, part",
     "trial_plan": f"WITH p AS (SELECT * FROM (VALUES {', '.join(f'({i}, {p})' for i, p in enumerate(trials.PRESETS['figure-adjacent']))}) v(i, target_page)), s AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_q(n)})' for i, n in enumerate(trials.SCENARIOS[:4]))}) v(j, scenario)), x AS (SELECT row_number() OVER (ORDER BY i, j) AS n, target_page, scenario FROM p, s) SELECT printf('trial-%04d', n) AS trial_id, CAST(target_page AS INT) AS target_page, scenario FROM x WHERE n <= 60",
     "logical_trials": f"WITH {_TRIALS} SELECT book_id, target_page, scenario, run_id, id FROM ranked QUALIFY row_number() OVER (PARTITION BY {_pair} ORDER BY rk DESC, run_id NULLS FIRST, seq NULLS FIRST, id NULLS FIRST) = 1",
     "trial_replacements": f"WITH {_TRIALS}, x AS (SELECT *, max(rk) OVER (PARTITION BY {_pair} ORDER BY run_id NULLS FIRST, seq NULLS FIRST, id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf FROM ranked) SELECT {_pair}, count(*) AS trials, count(*) - 1 AS duplicates, count(*) FILTER (bf IS NOT NULL AND rk > bf) AS replacements FROM x GROUP BY {_pair}",
     "run_summary": f"WITH {_TRIALS} SELECT run_id, scenario, CAST(grouping(scenario) AS INT) AS whole_run, count(*) AS trials, count(*) FILTER (status IN ('succeeded', 'parse_failed')) AS succeeded, count(*) FILTER (NOT coalesce(status IN ('succeeded', 'parse_failed'), false)) AS failed, count(*) FILTER (suspected_bleed) AS bleed, round(avg(coalesce(target_only_score, 0)), 6) AS avg_score FROM tm GROUP BY GROUPING SETS ((run_id, scenario), (run_id))",
-    "scenario_report": f"WITH {_TRIALS} SELECT scenario, {_REPORT} FROM tm GROUP BY scenario",
-    "page_report": f"WITH {_TRIALS} SELECT target_page, {_REPORT} FROM tm GROUP BY target_page",
+    "scenario_report": f"WITH {_TRIALS}, {_LOGICAL} SELECT scenario, {_SUMS}, {_LEAST} FROM g GROUP BY scenario",
+    "page_report": f"WITH {_TRIALS}, {_LOGICAL} SELECT book_id, target_page, {_SUMS}, {_LEAST} FROM g GROUP BY book_id, target_page",
+    "report_totals": f"WITH {_TRIALS}, {_LOGICAL} SELECT {_SUMS} FROM g",
+    "low_trials": f"WITH {_TRIALS}, {_LOGICAL} SELECT book_id, target_page, scenario, run_id, id, forbidden, score FROM g WHERE score < 1 OR forbidden > 0 OR coalesce(suspected_bleed, false) OR coalesce(status, '') <> 'succeeded'",
+    "variant_pages": "SELECT page_num" + "".join(f", CAST(coalesce(sum(strlen(text)) FILTER (kind = {_q(k)}), 0) AS BIGINT) AS {k}" for k in KINDS) + " FROM documents WHERE page_num IS NOT NULL GROUP BY page_num",
+    "marker_images": f"""WITH {_SPLIT}, l AS (SELECT doc_id, page, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no FROM page), m AS (SELECT l.doc_id, d.book_id, page, CAST(line_no AS INT) AS line_no FROM l JOIN documents d ON d.doc_id = l.doc_id WHERE d.book_id IS NOT NULL AND starts_with(line, '[FIGURE:')),
+      i AS (SELECT book_id, TRY_CAST(regexp_extract_all(string_split(image_path, '/')[-1], '\\d+')[-1] AS INT) AS page, min(image_path) AS path FROM structured_pages WHERE image_path IS NOT NULL GROUP BY 1, 2)
+      SELECT doc_id, m.book_id, m.page, line_no, coalesce(path, printf('images/%s/page_%03d.png', m.book_id, m.page)) AS path, path IS NOT NULL AS found FROM m LEFT JOIN i ON i.book_id = m.book_id AND i.page = m.page""",
+    "legacy_assembly": f"WITH {_PAGES}, t AS (SELECT book_id, page_number, CAST(floor((page_number - 1) / 200) AS BIGINT) AS part, printf('<!-- page:%03d -->', page_number) || chr(10) || chr(10) || regexp_replace(coalesce(array_to_string(list_filter(list_transform(blocks, lambda x: x.text), lambda y: y IS NOT NULL), chr(10) || chr(10)), ''), '^\\s+|\\s+$', '', 'g') AS t FROM p) SELECT book_id, part, count(*) AS n_pages, md5(string_agg(t, chr(10) || chr(10) ORDER BY page_number, t)) AS md5 FROM t GROUP BY book_id, part",
+    "run_results": "WITH t AS (SELECT DISTINCT run_id, id AS trial_id FROM benchmark_trials), a AS (SELECT run_id, trial_id, count(DISTINCT pair_id) AS answers FROM prompt_pairs WHERE raw_response IS NOT NULL GROUP BY 1, 2) SELECT t.run_id, count(*) AS trials, count(answers) AS answered, CAST(coalesce(sum(answers), 0) AS BIGINT) AS answers FROM t LEFT JOIN a USING (run_id, trial_id) GROUP BY t.run_id",
+    "error_classes": """WITH s AS (SELECT DISTINCT * FROM structured_pages), e AS (SELECT lower(coalesce(error_message, '')) AS m FROM s WHERE status = 'failed'), c AS (SELECT CASE WHEN contains(m, 'read target image') THEN 'structured_image_read_failed' WHEN contains(m, 'parse structured ocr json') THEN 'structured_parse_failed' WHEN contains(m, 'page mismatch') THEN 'structured_page_mismatch'
+      WHEN contains(m, 'tls') THEN 'structured_provider_tls' WHEN contains(m, 'rate limit') OR contains(m, '429') THEN 'structured_provider_rate_limit' WHEN contains(m, 'run structured ocr inference') THEN 'structured_provider_failed' ELSE 'structured_page_failed' END AS class FROM e)
+      SELECT class, class NOT IN ('structured_image_read_failed', 'structured_parse_failed', 'structured_page_mismatch') AS retryable, count(*) AS n FROM c GROUP BY 1, 2""",
+    "draft_profiles": "WITH i AS (SELECT book_id, TRY_CAST(regexp_extract_all(string_split(image_path, '/')[-1], '\\d+')[-1] AS INT) AS page FROM structured_pages WHERE image_path IS NOT NULL) SELECT book_id, count(DISTINCT page) AS expected_pages, min(page) AS first_page, max(page) AS last_page FROM i WHERE page > 0 GROUP BY book_id",
+    "dry_pages": f"WITH {_PAGES} SELECT page_id, '## Page ' || printf('%03d', page_number) || chr(10) || chr(10) || 'Dry-run OCR for book `' || book_id || '` from `page_' || printf('%03d', page_number) || '.png` (0 image bytes).' AS markdown FROM p WHERE page_number IS NOT NULL",
+    "all_list_pages": f"WITH {_SPLIT}, l AS (SELECT doc_id, page, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^\\s*[-*]\\s+')) AS b, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^\\s*#{{1,6}}\\s+')) AS h FROM page) SELECT doc_id, page, CAST(len(b) AS BIGINT) AS bullets, CAST(len(h) AS BIGINT) AS headings, array_to_string(list_transform(h[1:3], lambda x: {_TRIM('x')}), '|') AS samples FROM l",
     "notable_trials": f"WITH {_TRIALS} SELECT run_id, id FROM tm WHERE coalesce(target_only_score, 0) < 1 OR coalesce(forbidden_phrase_hits, 0) > 0 OR coalesce(suspected_bleed, false) OR coalesce(status, '') <> 'succeeded'",
     "turn_counts": "SELECT run_id, count(DISTINCT pair_id) AS turns FROM prompt_pairs GROUP BY run_id",
     "latest_pages": f"WITH {_LATEST} SELECT book_id, page_num, status, updated_at FROM s",
@@ -208,10 +270,10 @@ ORACLES = {
     "listed_pages": f"WITH {_LATEST} SELECT book_id, page_num, status FROM s WHERE book_id = 'bk-gazette' AND status = 'succeeded' ORDER BY book_id, page_num LIMIT 20",
     "page_errors": f"""WITH {_LATEST}, e AS (SELECT coalesce(error_code, '') AS error_code, lower(coalesce(error_message, '')) AS m FROM s WHERE status = 'failed')
       SELECT error_code, CASE WHEN regexp_matches(m, 'timeout|deadline|cancel|tls|connection|rate limit|temporar') THEN true WHEN error_code IN ('structured_page_mismatch', 'parse_failed', 'image_read') OR regexp_matches(m, 'page mismatch|parse structured|read image|no such file') THEN false ELSE true END AS retryable, count(*) AS n FROM e GROUP BY 1, 2""",
-    "book_report": f"""WITH {_CAPTIONS}, {_LATEST}, k AS (SELECT DISTINCT book_id, page_number, norm FROM c), n AS (SELECT book_id, count(DISTINCT page_number) AS n_pages, CAST(max(page_number) AS BIGINT) AS expected_pages FROM p GROUP BY book_id),
+    "book_report": f"""WITH {_CAPTIONS}, {_LATEST}, k AS (SELECT DISTINCT book_id, page_number, norm FROM c), z AS (SELECT book_id, count(DISTINCT TRY_CAST(regexp_extract_all(string_split(image_path, '/')[-1], '\\d+')[-1] AS INT)) AS expected_pages FROM structured_pages WHERE image_path IS NOT NULL GROUP BY book_id), n0 AS (SELECT book_id, count(DISTINCT page_number) AS n_pages FROM p GROUP BY book_id), n AS (SELECT n0.book_id, n_pages, expected_pages FROM n0 LEFT JOIN z ON z.book_id = n0.book_id),
       a AS (SELECT x.book_id, count(*) AS adjacent_captions FROM k x JOIN k y ON x.book_id = y.book_id AND x.norm = y.norm AND y.page_number = x.page_number + 1 GROUP BY x.book_id), h AS (SELECT book_id, count(*) AS short_pages FROM s WHERE status = 'succeeded' AND rendered_bytes > 0 AND rendered_bytes < 800 GROUP BY book_id)
-      SELECT n.book_id, n_pages, expected_pages, coalesce(adjacent_captions, 0) AS adjacent_captions, coalesce(short_pages, 0) AS short_pages, n_pages = expected_pages AS complete, coalesce(adjacent_captions, 0) + coalesce(short_pages, 0) AS warning_count FROM n LEFT JOIN a USING (book_id) LEFT JOIN h USING (book_id)""",
-    "type_patch": f"WITH {_PAGES}, o AS (SELECT book_id, page_number AS page, page_type AS inferred FROM p WHERE coalesce(page_type, '') <> '' QUALIFY row_number() OVER (PARTITION BY book_id, page_number ORDER BY attempt DESC NULLS LAST, page_type DESC) = 1) SELECT book_id, page, 'body' AS known, inferred FROM o WHERE inferred <> 'body'",
+      SELECT n.book_id, n_pages, expected_pages, coalesce(adjacent_captions, 0) AS adjacent_captions, coalesce(short_pages, 0) AS short_pages, coalesce(n_pages = expected_pages, false) AS complete, coalesce(adjacent_captions, 0) + coalesce(short_pages, 0) AS warning_count FROM n LEFT JOIN a USING (book_id) LEFT JOIN h USING (book_id)""",
+    "type_patch": f"WITH {_PAGES}, {_LATEST}, o AS (SELECT book_id, page_number AS page, page_type AS inferred FROM p WHERE coalesce(page_type, '') <> '' QUALIFY row_number() OVER (PARTITION BY book_id, page_number ORDER BY attempt DESC NULLS LAST, page_type DESC) = 1), k AS (SELECT book_id, page_num AS page, CASE WHEN figure_count > 0 THEN 'figure' WHEN table_count > 0 THEN 'table' ELSE 'body' END AS known FROM s) SELECT o.book_id, o.page, known, inferred FROM o LEFT JOIN k ON k.book_id = o.book_id AND k.page = o.page WHERE inferred IS DISTINCT FROM known",
     "log_levels": f"WITH {_LOG} SELECT coalesce(nullif(level, ''), 'none') AS level, count(*) AS n FROM l GROUP BY 1",
     "log_totals": f"WITH {_LOG} SELECT count(*) AS lines, count(*) FILTER (parsed) AS parsed, count(*) FILTER (lower(level) = 'trace') AS trace, count(*) FILTER (lower(level) IN ('warn', 'error', 'fatal', 'panic')) AS trouble, count(*) FILTER (lower(coalesce(level, '')) <> 'trace' AND coalesce(event, '') <> '') AS events FROM l",
     "log_event_counts": f"WITH {_LOG} SELECT event, count(*) AS n, count(*) FILTER (lower(level) IN ('warn', 'error') OR event LIKE '%failed%') AS failures FROM l WHERE event <> '' GROUP BY event",
@@ -221,6 +283,18 @@ ORACLES = {
       CASE WHEN parsed THEN coalesce(CASE WHEN json_type(j, '$.message') = 'VARCHAR' THEN j ->> '$.message' END, CASE WHEN json_type(j, '$.msg') = 'VARCHAR' THEN j ->> '$.msg' END) ELSE raw END AS message FROM o""",
 }
 
+_WORK = {k: ORACLES[k] for k in ("known_bad_terms", "missing_strings", "page_duplicate_lines", "all_list_pages")}
+_QA = f"""bad AS ({_WORK["known_bad_terms"]}), lost AS ({_WORK["missing_strings"]}), twice AS ({_WORK["page_duplicate_lines"]}), style AS ({_WORK["all_list_pages"]}),
+  findings AS (SELECT doc_id, 'error' AS severity, 'known_bad_term' AS code, CAST(NULL AS INT) AS page, CAST(line AS INT) AS line, printf('known bad term "%s" found %d time(s)', term, hits) AS message FROM bad
+    UNION ALL SELECT doc_id, 'error', 'expected_string_missing', NULL, NULL, printf('expected string "%s" is missing', expected) FROM lost
+    UNION ALL SELECT doc_id, 'error', 'adjacent_duplicate_line', page, CAST(line_no AS INT), 'adjacent duplicate non-empty line: ' || line FROM twice
+    UNION ALL SELECT doc_id, 'warning', 'list_page_markdown_bullets', page, NULL, printf('list page has %d markdown bullet line(s)', bullets) FROM style WHERE bullets > 0
+    UNION ALL SELECT doc_id, 'warning', 'list_page_markdown_headings', page, NULL, printf('list page has %d markdown heading line(s)', headings) FROM style WHERE headings > 0)"""
+ORACLES |= {
+    "qa_findings": f"WITH {_QA} SELECT * FROM findings",
+    "qa_passed": f"WITH {_QA}, w AS (SELECT DISTINCT doc_id FROM findings) SELECT d.doc_id, w.doc_id IS NULL AS passed FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id",
+}
+
 _ITEMS = """i(page_id, node, parent, v) AS (
     SELECT page_id, 'b' || block_no || '.i' || k, 'b' || block_no, a[k + 1] FROM (SELECT page_id, block_no, a, unnest(range(len(a))) AS k FROM (SELECT page_id, block_no, json_extract(b.items, '$[*]') AS a FROM b WHERE json_valid(b.items))) WHERE json_type(a[k + 1]) <> 'NULL'
     UNION ALL
