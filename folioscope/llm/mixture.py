@@ -58,7 +58,7 @@ def draw(docs: DataFrame, rate: DataFrame) -> DataFrame:
     counts = docs.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a source
     starts = counts.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    placed = docs.join(F.broadcast(starts), ["source", "bucket"])  # at most sources x BUCKETS rows
+    placed = docs.join(starts, ["source", "bucket"])  # by the keys that the numbering below needs anyhow; Spark broadcasts it only where its size allows
     within = Window.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id")
     placed = placed.withColumn("place", F.col("start") + F.row_number().over(within))
     placed = placed.join(F.broadcast(rate.select("source", "rate", "offset")), "source")
