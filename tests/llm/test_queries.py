@@ -9,5 +9,5 @@ def test_runs_on_whole_tables(spark, data, name):
     df = entry.queries()[name](spark, data)
     columns = {"p2_found": ["pair_id", "defect"], "p4_found": ["page_id", "block_no", "field", "noise"], "p5_found": ["page_id_a", "page_id_b"], "p7_ids": ["doc_id", "ids"], "p9_found": ["doc_id"]}
     assert name not in columns or df.columns == columns[name]
-    assert df.count() >= 0
+    assert df.count() > 0 or name == "p9_found"  # five reviews teach nothing
     assert set(ORACLES) <= set(QUERIES)
