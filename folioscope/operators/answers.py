@@ -45,10 +45,14 @@ def first_object(text: str) -> str:
     return text.strip()
 
 
+#: The pattern of a number with leading zeros after a key.
+_leading_zeros = re.compile(r"(:\s*)0+(\d)")
+
+
 def lenient(text: str) -> str:
     """The default repair stage: trailing commas and numbers with leading zeros, outside of strings."""
     parts = re.split(r'("(?:[^"\\]|\\.)*")', text)
-    parts[::2] = [re.sub(r"(:\s*)0+(\d)", r"\1\2", re.sub(r",(\s*[}\]])", r"\1", p)) for p in parts[::2]]
+    parts[::2] = [_leading_zeros.sub(r"\1\2", re.sub(r",(\s*[}\]])", r"\1", p)) for p in parts[::2]]
     return "".join(parts)
 
 

@@ -86,11 +86,24 @@ def embedded(pages: DataFrame, folder: str = "figures", key: str = "doc_id") ->
 
 @dataclass(frozen=True)
 class Ink:
-    """What counts as ink and where furniture lies, as parts of the page."""
+    """What counts as ink, where furniture lies and what a band of ink needs; parts stand for one in so many of the page."""
 
     light: int = 245
     margin: int = 24
     least_ink: int = 200
+    left_part: int = 10
+    right_part: int = 20
+    row_part: int = 250
+    row_least: int = 8
+    head_part: int = 25
+    foot_part: int = 6
+    band_part: int = 180
+    band_least: int = 12
+    crop_left_part: int = 12
+    most_share: float = 0.85
+    least_share: float = 0.02
+    furniture_part: int = 10
+    frame: int = 4
 
 
 def ink_mask(image: np.ndarray, ink: Ink = Ink()) -> np.ndarray:
@@ -104,21 +117,21 @@ def crop(image: np.ndarray, ink: Ink = Ink()) -> tuple[int, int, int, int]:
     """(x, y, width, height) of the figure: the union of bands of inked rows away from head and foot; the whole page if there is no ink."""
     mask = ink_mask(image, ink)
     h, w = mask.shape
-    rows = mask[:, w // 10 : w - w // 20].sum(axis=1)
-    least = max(8, w // 250)
+    rows = mask[:, w // ink.left_part : w - w // ink.right_part].sum(axis=1)
+    least = max(ink.row_least, w // ink.row_part)
     on = np.concatenate([[False], rows >= least, [False]])
     begins, ends = np.flatnonzero(~on[:-1] & on[1:]), np.flatnonzero(on[:-1] & ~on[1:]) - 1
     if not len(begins):
         return 0, 0, w, h
     total = np.add.reduceat(np.where(on[1:-1], rows, 0), begins)
-    body = (ends >= h // 25) & (begins <= h - h // 6) & ((ends - begins + 1 >= max(12, h // 180)) | (total >= ink.least_ink))
+    body = (ends >= h // ink.head_part) & (begins <= h - h // ink.foot_part) & ((ends - begins + 1 >= max(ink.band_least, h // ink.band_part)) | (total >= ink.least_ink))
     if body.any():
         top, bottom = int(begins[body].min()), int(ends[body].max())
     else:
         best = int(np.argmax(total + (ends - begins) * least))
         top, bottom = int(begins[best]), int(ends[best])
-    left = w // 12
-    columns = np.flatnonzero(mask[top : bottom + 1, left : w - w // 20].any(axis=0))
+    left = w // ink.crop_left_part
+    columns = np.flatnonzero(mask[top : bottom + 1, left : w - w // ink.right_part].any(axis=0))
     if not len(columns):
         return 0, 0, w, h
     x0, x1 = max(0, left + int(columns[0]) - ink.margin), min(w, left + int(columns[-1]) + ink.margin + 1)
@@ -126,13 +139,13 @@ def crop(image: np.ndarray, ink: Ink = Ink()) -> tuple[int, int, int, int]:
     return x0, y0, x1 - x0, y1 - y0
 
 
-def crop_warnings(width: int, height: int, rect: tuple[int, int, int, int]) -> list[str]:
+def crop_warnings(width: int, height: int, rect: tuple[int, int, int, int], ink: Ink = Ink()) -> list[str]:
     x, y, w, h = rect
     if w <= 0 or h <= 0:
         return ["empty crop"]
     share = w * h / (width * height)
-    out = ["crop covers more than 85 percent of page"] if share > 0.85 else ["crop covers less than 2 percent of page"] if share < 0.02 else []
-    return out + (["crop extends into bottom page-furniture zone"] if y + h > height - height // 10 else [])
+    out = ["crop covers more than 85 percent of page"] if share > ink.most_share else ["crop covers less than 2 percent of page"] if share < ink.least_share else []
+    return out + (["crop extends into bottom page-furniture zone"] if y + h > height - height // ink.furniture_part else [])
 
 
 def png(image: np.ndarray) -> bytes:
@@ -144,6 +157,23 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
 
 
+def overlay(image: np.ndarray, rect: tuple[int, int, int, int], ink: Ink = Ink()) -> np.ndarray:
+    """The page in colour with a red frame along the inside of a crop."""
+    a = image if image.ndim == 3 else image[:, :, None]
+    out = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[:, :, :3].copy()
+    x, y, w, h = rect
+    inside = out[max(0, y) : y + h, max(0, x) : x + w]
+    frame = np.ones(inside.shape[:2], dtype=bool)
+    frame[ink.frame : -ink.frame or None, ink.frame : -ink.frame or None] = False
+    inside[frame] = (255, 0, 0)
+    return out
+
+
+def sidecars(cropped: DataFrame) -> DataFrame:
+    """(page, value): what is known of each crop, without its pixels, as JSON."""
+    return cropped.select("page", F.to_json(F.struct(*[c for c in cropped.columns if c != "content"])).alias("value"))
+
+
 #: Segmenters by name; others may be added. Each takes an image array and gives a rectangle.
 SEGMENTERS: dict[str, Callable[[np.ndarray], tuple[int, int, int, int]]] = {"ink-band": crop}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.documents import PART_PAGES
 from folioscope.sources.tables import one_per_key
 
 #: The order in which a page goes through its states.
@@ -56,3 +57,8 @@ def rerun(pages: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = wanted.select("book_id", "page_num").distinct()
     reset = pages.join(w, ["book_id", "page_num"], "left_semi").withColumn("status", F.lit("pending"))
     return reset, w.join(pages.select("book_id", "page_num"), ["book_id", "page_num"], "left_anti")
+
+
+def rerun_parts(reset: DataFrame) -> DataFrame:
+    """(book_id, part): the parts of assembled documents that pages which are run again make stale; their books are validated anew."""
+    return reset.where(F.col("page_num").isNotNull()).select("book_id", F.floor((F.col("page_num") - 1) / PART_PAGES).cast("long").alias("part")).distinct()

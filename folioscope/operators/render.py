@@ -28,6 +28,7 @@ class Policy:
     footers: bool = False
 
 
+#: The pattern of the items that a description names.
 _boxed = re.compile(r"items?\s+([A-Z0-9_ -]+(?:,\s*[A-Z0-9_ -]+)*(?:,?\s+and\s+[A-Z0-9_ -]+)?)", re.IGNORECASE)
 
 

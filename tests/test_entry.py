@@ -56,3 +56,18 @@ def test_the_core_stands_without_the_llm_subpackage():
     for f in [*root.glob("folioscope/**/*.py"), *root.glob("tests/*.py")]:
         if "llm" not in f.parts:
             assert "folioscope.llm" not in f.read_text().replace("folioscope.llm" if f.name == "test_entry.py" else "\0", "")
+
+
+def test_the_core_stands_when_the_llm_folders_are_deleted(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(entry.__file__).parent
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e, pkgutil, importlib, folioscope; [importlib.import_module(m.name) for m in pkgutil.walk_packages(folioscope.__path__, 'folioscope.')]; print(len(e.queries()), len(e.oracle_sql()), any(k.startswith(('p2', 'p4', 'p5', 'p7', 'p8', 'p9')) for k in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env={**os.environ, "PYTHONPATH": str(tmp_path / "repo")}, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    n, m, llm = out.stdout.split()[-3:]
+    assert (int(n), int(m), llm) == (len(entry.core.QUERIES), len(entry.core.ORACLES), "False")

@@ -122,3 +122,18 @@ def test_files_of_a_benchmark(spark, tmp_path):
     assert rows(sinks.printed(df)) == [("id=t1 raw_response=answer run_id=r status=succeeded",), ("id=t2 run_id=r status=failed",)]
     assert rows(reports.draft_profiles(spark.createDataFrame([("b", 2, "p"), ("b", 5, "q")], "book_id string, page int, path string"))) == [("b", 2, 2, 5)]
     assert reports.variants_by_page(spark.createDataFrame([(1, "a", "xy")], "page_num int, kind string, text string"), ["a", "b"]).select(F.col("a"), F.col("b")).first() == (2, 0)
+
+
+def test_overlays_sidecars_and_stale_parts(spark):
+    import numpy as np
+
+    from folioscope.operators import figures, projection
+
+    page = np.full((60, 50), 255, np.uint8)
+    framed = figures.overlay(page, (10, 20, 30, 25))
+    red = (framed == (255, 0, 0)).all(axis=2)
+    assert framed.shape == (60, 50, 3) and red[20:45, 10:40].sum() == red.sum() == 30 * 25 - 22 * 17
+    df = spark.createDataFrame([(1, 2, b"x")], "page int, x int, content binary")
+    assert rows(figures.sidecars(df)) == [(1, '{"page":1,"x":2}')]
+    reset, missing = projection.rerun(spark.createDataFrame([("b", 1, "succeeded"), ("b", 201, "failed")], "book_id string, page_num int, status string"), spark.createDataFrame([("b", 1), ("b", 201), ("b", 7)], "book_id string, page_num int"))
+    assert rows(projection.rerun_parts(reset)) == [("b", 0), ("b", 1)] and rows(missing) == [("b", 7)]
