@@ -180,11 +180,17 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return file_chain(files).join(prints, ["feed", "file_name"], "left").select("feed", "file_name", F.col("version").cast("long").alias("version"), "fingerprint", F.coalesce("n_fields", F.lit(0)).alias("n_fields"))
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """An expression with a name for a value that it uses more than once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def _entries(record: str, prefix: str = "") -> str:
     """The fields of a record under their canonical names, those that had them already first."""
-    raw = f"concat('{prefix}', e.key)"
-    named = f"transform(map_entries(try_variant_get({record}, '$', 'map<string,variant>')), e -> named_struct('same', names[{raw}] IS NULL, 'name', substring(coalesce(names[{raw}], {raw}), {len(prefix) + 1}), 'value', e.value))"
-    return f"concat(filter({named}, e -> e.same), filter({named}, e -> NOT e.same))"
+    raw = f"concat('{prefix}', e.key)" if prefix else "e.key"
+    own = f"substring(names[{raw}], {len(prefix) + 1})" if prefix else f"names[{raw}]"
+    named = f"transform(map_entries(try_variant_get({record}, '$', 'map<string,variant>')), e -> named_struct('same', names[{raw}] IS NULL, 'name', coalesce({own}, e.key), 'value', e.value))"
+    return _let("all_of", named, "CASE WHEN forall(all_of, e -> e.same) THEN all_of ELSE concat(filter(all_of, e -> e.same), filter(all_of, e -> NOT e.same)) END")
 
 
 def _field(name: str, entries: str) -> str:
@@ -195,8 +201,8 @@ def _field(name: str, entries: str) -> str:
 def _others(entries: str, known: tuple[str, ...]) -> str:
     """The fields beside the known ones, as a map from the canonical name to the value's JSON text; of two of one name the first."""
     names = ", ".join(f"'{n}'" for n in known)
-    left = f"filter({entries}, e -> e.name NOT IN ({names}))"
-    return f"map_from_arrays(array_distinct(transform({left}, e -> e.name)), transform(array_distinct(transform({left}, e -> e.name)), n -> to_json(get(filter({left}, e -> e.name = n), 0).value)))"
+    first = "transform(array_distinct(transform(rest, e -> e.name)), n -> named_struct('name', n, 'json', to_json(get(filter(rest, e -> e.name = n), 0).value)))"
+    return _let("rest", f"filter({entries}, e -> e.name NOT IN ({names}))", f"CASE WHEN size(rest) = 0 THEN cast(map() as map<string,string>) ELSE map_from_entries({first}) END")
 
 
 BLOCK_FIELDS = ("id", "type", "text", "level", "caption", "confidence", "diagram_text")
