@@ -107,9 +107,8 @@ def diagram_cues(pages: DataFrame, *keys: str, text: str = "body") -> DataFrame:
     return pages.select(*keys, cues.alias("cue_lines"), prose.alias("prose_lines"), ((cues >= 2) & (prose < 3)).alias("diagram"))
 
 
-def report(docs: DataFrame, expected_pages: int, bad: Sequence[str], expected: Sequence[str], list_pages: Sequence[int] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All findings of the documents, in one narrow pass; ``list_pages`` None stands for every page."""
-    t = F.col(text)
+def findings_of(t: Column, expected_pages: int, bad: Sequence[str], expected: Sequence[str], list_pages: Sequence[int] | None) -> Column:
+    """The findings of one text as an array."""
     pages = pages_of(t)
     lines = lambda p: F.split(p["body"], "\n")
     count = lambda p, pattern: F.size(F.filter(lines(p), lambda s: s.rlike(pattern)))
@@ -128,8 +127,17 @@ def report(docs: DataFrame, expected_pages: int, bad: Sequence[str], expected: S
     listed = pages if list_pages is None else F.filter(pages, lambda p: p["page"].isin(list(list_pages)))
     style = lambda p, what, pattern: F.when(count(p, pattern) > 0, one("warning", f"list_page_markdown_{what}s", p["page"], null, F.format_string(f"list page has %d markdown {what} line(s)", count(p, pattern))))
     found.append(F.flatten(F.transform(listed, lambda p: F.array_compact(F.array(style(p, "bullet", BULLET_LINE), style(p, "heading", HEADING_LINE))))))
-    rows = F.concat(*[F.coalesce(x, none) for x in found])
-    return docs.where(t.isNotNull()).select(key, F.inline(rows))
+    return F.concat(*[F.coalesce(x, none) for x in found])
+
+
+def report(docs: DataFrame, expected_pages: int, bad: Sequence[str], expected: Sequence[str], list_pages: Sequence[int] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All findings of the documents, in one narrow pass; ``list_pages`` None stands for every page."""
+    return docs.where(F.col(text).isNotNull()).select(key, F.inline(findings_of(F.col(text), expected_pages, bad, expected, list_pages)))
+
+
+def verdicts(docs: DataFrame, expected_pages: int, bad: Sequence[str], expected: Sequence[str], list_pages: Sequence[int] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, passed): whether a document has no finding, in the same pass; null texts have none."""
+    return docs.select(key, F.coalesce(F.size(findings_of(F.col(text), expected_pages, bad, expected, list_pages)) == 0, F.lit(True)).alias("passed"))
 
 
 def passed(docs: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataFrame:

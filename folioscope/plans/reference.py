@@ -98,7 +98,7 @@ QUERIES = {
     "list_page_style": lambda s, d: qa.list_style(table(s, d, "documents"), LIST_PAGES).select("doc_id", "page", "bullets", "headings", F.array_join("heading_samples", "|").alias("samples")),
     "diagram_pages": lambda s, d: qa.diagram_cues(documents.split_pages(table(s, d, "documents")), "doc_id", "pos"),
     "qa_findings": lambda s, d: qa.report(table(s, d, "documents"), -1, TERMS, EXPECTED, None),
-    "qa_passed": lambda s, d: qa.passed(table(s, d, "documents"), qa.report(table(s, d, "documents"), -1, TERMS, EXPECTED, None)),
+    "qa_passed": lambda s, d: qa.verdicts(table(s, d, "documents"), -1, TERMS, EXPECTED, None),
     "normalize_list_lines": lambda s, d: normalize.list_lines(table(s, d, "documents")),
     "normalized_documents": lambda s, d: normalize.documents(table(s, d, "documents"), None),
     "positional_diff": lambda s, d: normalize.positional_changes(table(s, d, "documents").where("text IS NOT NULL"), F.col("text"), _normalized(), "doc_id"),

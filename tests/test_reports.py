@@ -51,6 +51,7 @@ def test_findings_and_reports_of_documents(spark):
     df = spark.createDataFrame([(1, PAGE, 1), (2, None, 1), (3, "", 1), (4, "<!-- page:001 -->\nfine good", 1)], "doc_id long, text string, page int")
     got = rows(qa.report(df, 1, ["bad"], ["good"], None), "doc_id", "code", "page", "line")
     assert got == sorted([(1, "page_continuity", None, None), (1, "known_bad_term", None, 10), (1, "expected_string_missing", None, None), (1, "adjacent_duplicate_line", 1, 3), (1, "list_page_markdown_bullets", 1, None), (3, "page_continuity", None, None), (3, "expected_string_missing", None, None)], key=repr)
+    assert rows(qa.verdicts(df, 1, ["bad"], ["good"], None)) == [(1, False), (2, True), (3, False), (4, True)]
     assert rows(qa.adjacent_duplicates(df)) == [(1, 1, 3, "same")] and rows(qa.duplicate_lines(df)) == [(1, 5, "same")]
     md = dict(rows(reports.qa_markdown(df, 1, ["bad"], ["good"])))
     assert sorted(md) == [1, 3, 4] and md[4].endswith("PASS for automated checks.") and md[1].endswith("produced findings.")
