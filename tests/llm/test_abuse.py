@@ -49,6 +49,27 @@ def test_a_mention_is_no_attack():
     assert p[0] > abuse.THRESHOLD > p[1] and p[2] == p[3] == p[4] == 0 and p[5] < abuse.THRESHOLD
 
 
+def test_a_mention_that_was_flagged_by_mistake_is_put_right():
+    rng = random.Random(6)
+    noun = lambda: rng.choice(NOUNS)
+    attack = lambda: f"{noun()} {noun()} {rng.choice(['dolt', 'oaf', 'lout'])} {noun()} {rng.randrange(1900)}."
+    mention = lambda: f"The glossary explains dolt as an old word for a mason, and lout as a term the {noun()} of {rng.randrange(1900)} no longer uses."
+    attacks = [(f"{clean(rng)} {attack()}", rng.random() > 0.2) for _ in range(300)]
+    passed = [(clean(rng), False) for _ in range(300)]
+    p = abuse.fit([*attacks, *passed, *[(mention(), i < 1) for i in range(8)]]).scores([mention() for _ in range(20)] + [attack() for _ in range(20)])
+    assert p[:20].max() < abuse.THRESHOLD < p[20:].min()
+
+
+def test_tied_reviews_teach_nothing(spark):
+    train = corpus(150, 7)
+    labels = [(i, "r", int(f), "x") for i, (_, f) in enumerate(train)]
+    d = spark.createDataFrame([(i, t, "s", 1, "") for i, (t, _) in enumerate(train)], DOCS)
+    more = d.unionByName(d.selectExpr("doc_id + 1000 AS doc_id", "text", "source", "score", "flagged"))
+    ties = [(1000 + i, r, f, "x") for i in range(150) for r, f in (("a", 0), ("b", 1))]
+    scores = lambda docs, l: rows(abuse.scored(docs, spark.createDataFrame(l, LABELS)).where("doc_id < 1000"), "doc_id", "score")  # noqa: E731, E741
+    assert scores(d, labels) == scores(more, labels + ties)
+
+
 def test_nothing_is_found_without_reviews():
     assert abuse.fit([]).scores([bad(random.Random(1))])[0] < abuse.THRESHOLD
 
