@@ -1,8 +1,8 @@
 """Problem 2: answers that fail their prompt, with the kind of failure.
 
-A bounded sample of pairs with a stated language fits two character n-gram models on the driver: naive Bayes over
-languages and the likelihood that a text ends where it ends. Both are small, so they travel with the
-task; every pair is then judged in one narrow pass. A pair's language is the stated one, else the one that the prompt
+All answers with a stated language, however long, fit two character n-gram models: naive Bayes over languages and the
+likelihood that a text ends where it ends. Their hashed n-grams are counted in the tasks and summed by bucket, so the models
+are of fixed size and travel with the task; every pair is then judged in one narrow pass. A pair's language is the stated one, else the one that the prompt
 names, else the most likely one of the prompt itself; the answer's posterior is compared with it. A refusal speaks, outside
 quotation marks and within its first two sentences, of itself as declining, and gives little after that; a copy shares nearly all words, in order, with the prompt.
 
@@ -21,15 +21,16 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.ngrams import EndModel, LanguageBayes
-from folioscope.sources.tables import hash_sample, one_per_key
+from folioscope.llm.ngrams import BUCKETS, EndModel, LanguageBayes, gram_counts
+from folioscope.sources.tables import one_per_key, stored
 
-#: Bound of the labelled sample that the models are fitted on: rows of each stated language, by the hash of pair_id; longer answers don't teach.
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
+#: Shorter answers don't teach: they tell no language, and a few words no end.
+LEAST_CHARS = 30
 #: Log-odds against the wanted language from which an answer is in another, and log-likelihood under which an end is none.
 LANGUAGE_ODDS, END_LIKELIHOOD = 22.0, -4.2
 #: An answer that goes on for more sentences than these after it declines isn't a refusal.
@@ -62,6 +63,7 @@ TEXT_KEYS = ("transcription", "text", "ocr", "ocr_text", "markdown", "content")
 _fence = re.compile(r"```[\w-]*[ \t]*\n?(.*?)(```|\Z)", re.DOTALL)
 _partial = re.compile(r'"(?:' + "|".join(TEXT_KEYS) + r')"\s*:\s*"((?:[^"\\]|\\.)*)')
 _decoder = json.JSONDecoder(strict=False)
+_lone = re.compile("[\ud800-\udfff]")
 _record = re.compile(r'\{\s*"')
 _quoted = re.compile(r"[“„][^“”„]*[”“]|«[^»]*»|»[^«]*«|\"[^\"]*\"")
 _stop = re.compile(r"[.!?](?=\s)")
@@ -173,13 +175,49 @@ def refuses(text: str) -> bool:
     return bool(m) and len(_stop.findall(bare[: m.start()])) <= 1 and len(_stop.findall(bare[m.end() :].strip())) <= REFUSAL_SENTENCES
 
 
+LANGS = sorted(set(LANGUAGES.values()))
+
+
+_seeds = 3 * np.stack([gram_counts([SEEDS[lang]]) for lang in LANGS])
+
+
+class Counts:
+    """What the models are fitted on: counts of n-grams by language and at ends. Those of parts of a table add up."""
+
+    def __init__(self) -> None:
+        self.grams = np.zeros((len(LANGS), BUCKETS), dtype=np.int64)
+        self.ends, self.chars, self.texts = EndModel.counted([])
+
+    def add(self, labelled: list[tuple[str | None, str | None]]) -> Counts:
+        """labelled: (stated language, text of the answer)."""
+        known = [(LANGUAGES.get((lang or "").lower()), (text or "").strip()) for lang, text in labelled]
+        known = [(lang, t) for lang, t in known if lang and len(t) >= LEAST_CHARS]
+        for i, of in enumerate(LANGS):
+            self.grams[i] += gram_counts([t for lang, t in known if lang == of])
+        ends, chars, texts = EndModel.counted([t for _, t in known])
+        self.ends, self.chars, self.texts = self.ends + ends, self.chars + chars, self.texts + texts
+        return self
+
+    def parts(self) -> list[np.ndarray]:
+        return [*self.grams, *self.ends, np.array([self.chars, self.texts])]
+
+    def put(self, part: np.ndarray, at: np.ndarray, n: np.ndarray) -> Counts:
+        """Counts from the rows (part, place in it, n)."""
+        flat = self.parts()
+        for i, counts in enumerate(flat):
+            of = part == i
+            counts[at[of]] += n[of]
+        self.grams, self.ends, (self.chars, self.texts) = np.stack(flat[: len(LANGS)]), np.stack(flat[len(LANGS) : -1]), map(int, flat[-1])
+        return self
+
+
 class Judge:
-    def __init__(self, labelled: list[tuple[str, str]]):
-        """labelled: (language, raw answer); refusals and answers that break off are left to be outvoted."""
-        texts = [(LANGUAGES.get(lang.lower(), ""), content(raw)) for lang, raw in labelled]
-        known = [(lang, t) for lang, (t, _, _) in texts if lang and len(t) >= 30]
-        self.bayes = LanguageBayes([*known, *(x for x in SEEDS.items() for _ in range(3))])
-        self.end = EndModel([*(t for _, t in known), *SEEDS.values()])
+    def __init__(self, labelled: list[tuple[str, str]] | Counts):
+        """labelled: (language, raw answer) or their counts; refusals and answers that break off are left to be outvoted."""
+        counts = labelled if isinstance(labelled, Counts) else Counts().add([(lang, content(raw)[0]) for lang, raw in labelled])
+        seeds, chars, texts = EndModel.counted(list(SEEDS.values()))
+        self.bayes = LanguageBayes(LANGS, counts.grams + _seeds)
+        self.end = EndModel(counts.ends + seeds, counts.chars + chars, counts.texts + texts)
 
     def language(self, page_lang: str | None, prompt: str | None) -> str | None:
         if page_lang and page_lang.lower() in LANGUAGES:
@@ -194,7 +232,9 @@ class Judge:
         return max(odds, key=odds.__getitem__)
 
     def defect(self, page_lang: str | None, prompt: str | None, raw: str | None) -> str | None:
-        text, notes, whole = content(raw)
+        return self.defect_of(page_lang, prompt, *content(raw))
+
+    def defect_of(self, page_lang: str | None, prompt: str | None, text: str, notes: str, whole: bool) -> str | None:
         if not text.strip() and not notes.strip():
             return "empty" if whole else "truncated"
         said = text.strip() or notes.strip()
@@ -216,28 +256,44 @@ class Judge:
         return None
 
 
-def fitted(pairs: DataFrame) -> Judge:
-    """Models from the bounded sample; what comes to the driver is at most SAMPLE_PER_LANGUAGE rows a language."""
-    out = []
-    for lang in sorted(set(LANGUAGES.values())):
-        names = [k for k, v in LANGUAGES.items() if v == lang]
-        rows = pairs.where(F.lower("page_lang").isin(names) & (F.length("raw_response") <= SAMPLE_CHARS)).select("pair_id", "raw_response")
-        out += [(lang, r.raw_response) for r in hash_sample(rows, SAMPLE_PER_LANGUAGE, "pair_id")]
-    return Judge(out)
+def parsed(pairs: DataFrame) -> DataFrame:
+    """(pair_id, page_lang, user_prompt, text, notes, whole) of every pair, once."""
+    order = [F.col("received_at").asc_nulls_last()] if "received_at" in pairs.columns else [F.lit(1)]
+    used = ["pair_id", "page_lang", "user_prompt", "raw_response", *(["received_at"] if "received_at" in pairs.columns else [])]
+    one = one_per_key(pairs.select(*used), ["pair_id"], order).select("pair_id", "page_lang", "user_prompt", "raw_response")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(_lone.sub("\ufffd", text), _lone.sub("\ufffd", notes), whole) for text, notes, whole in map(content, batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.bool_())], names=["pair_id", "page_lang", "user_prompt", "text", "notes", "whole"])
+
+    return one.mapInArrow(run, "pair_id long, page_lang string, user_prompt string, text string, notes string, whole boolean")
+
+
+def counted(answers: DataFrame) -> Counts:
+    """Counts of all answers with a stated language; what comes to the driver is at most a row a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for batch in batches:
+            counts.add(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+        for i, part in enumerate(counts.parts()):
+            at = np.flatnonzero(part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(at, pa.int32()), pa.array(part[at], pa.int64())], names=["part", "at", "n"])
+
+    rows = answers.where("page_lang IS NOT NULL").select("page_lang", "text").mapInArrow(run, "part int, at int, n long").groupBy("part", "at").agg(F.sum("n").alias("n")).toArrow()
+    return Counts().put(*(rows.column(k).to_numpy() for k in ("part", "at", "n")))
 
 
 def judged(pairs: DataFrame) -> DataFrame:
     """(pair_id, defect) of every pair; defect is null for sound ones."""
-    judge = fitted(pairs)
-    order = [F.col("received_at").asc_nulls_last()] if "received_at" in pairs.columns else [F.lit(1)]
-    used = ["pair_id", "page_lang", "user_prompt", "raw_response", *(["received_at"] if "received_at" in pairs.columns else [])]
-    one = one_per_key(pairs.select(*used), ["pair_id"], order).select("pair_id", "page_lang", "user_prompt", "raw_response")
-    model = pairs.sparkSession.sparkContext.broadcast(judge)  # hashed tables of fixed size
+    one = stored(parsed(pairs), "pairs-parsed", "zstd")  # prompts and answers are much alike
+    model = pairs.sparkSession.sparkContext.broadcast(Judge(counted(one)))  # hashed tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = model.value.defect
+        of = model.value.defect_of
         for batch in batches:
-            kinds = [of(*row) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            kinds = [of(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], names=["pair_id", "defect"])
 
     return one.mapInArrow(run, "pair_id long, defect string")

@@ -88,7 +88,7 @@ def _release_at_end(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     This cuts the lineage: the rows survive the loss of any executor and are computed once, however often they are read.
@@ -96,6 +96,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=codec)
     _release_at_end(spark)
     return spark.read.schema(df.schema).parquet(path)

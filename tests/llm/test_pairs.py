@@ -60,3 +60,27 @@ def test_table(spark):
     df = spark.createDataFrame(data, s)
     assert rows(pairs.found(df)) == [(90, "wrong_language"), (91, "empty"), (92, "empty")]
     assert pairs.found(df.where("false")).count() == 0
+
+
+def test_every_labelled_answer_teaches_once(spark):
+    t = datetime(2026, 1, 1)
+    data = [(i, "en" if i % 2 else "DE", ASK, f"{EN} The sheet {i} was read.", t) for i in range(1000)] + [(2000, "fr", None, answer(FR * 300), t)] + [(3000, None, None, ES, t), (3001, "es", None, "Nada.", t), (3002, "es", None, None, t), (3003, "xx", None, ES, t)]
+    df = spark.createDataFrame(data, "pair_id long, page_lang string, user_prompt string, raw_response string, received_at timestamp")
+    got = pairs.counted(pairs.parsed(df.unionByName(df)).repartition(7))
+    want = pairs.Counts().add([(r[1], pairs.content(r[3])[0]) for r in data])
+    assert got.texts == 1001 and all((a == b).all() for a, b in zip(got.parts(), want.parts(), strict=True))
+
+
+def test_counts_of_texts_do_not_run_into_each_other(monkeypatch):
+    texts = [EN, DE, "é" * 5, " x ", "12 - 3", "a", "\ud800 b"]
+    each = [pairs.gram_counts([t]) for t in texts], [pairs.EndModel.counted([t])[0] for t in texts]
+    for size in (1_000_000, 10):
+        monkeypatch.setattr("folioscope.llm.ngrams.PACK_CHARS", size)
+        assert (pairs.gram_counts(texts) == sum(each[0])).all() and (pairs.EndModel.counted(texts)[0] == sum(each[1])).all()
+    counts = pairs.EndModel.counted(["A rule. "])[0]
+    assert counts[0][pairs.EndModel.bucket(2, "rule")] == 1 == counts[0][pairs.EndModel.bucket(1, "A a")]
+
+
+def test_half_a_surrogate_pair_in_an_answer(spark):
+    df = spark.createDataFrame([(1, "en", None, '{"transcription": "The plate was cleaned \\ud800 today."}')], "pair_id long, page_lang string, user_prompt string, raw_response string")
+    assert pairs.judged(df).count() == 1
