@@ -12,8 +12,8 @@ Word counts, titles and misread words are distributed tables joined by key. Of t
 ``COMMON``, those that no mended form outnumbers are known to every task, so that they needn't be shuffled; every other
 word is judged, however frequent it is. The editor is trained on at most ``LEXICON`` words and as many compounds.
 
-Defined results: pages are taken once, by page_id; null blocks, texts and captions and blank texts have no noise; blocks of
-the kinds in ``SKIPPED`` are no cases. One row per block, field and kind of noise.
+Defined results: pages are taken once, by page_id; null blocks, texts and captions and blank texts have no noise; texts of
+blocks of the kinds in ``SKIPPED`` are no cases, their captions are. One row per block, field and kind of noise.
 """
 
 from __future__ import annotations
@@ -139,8 +139,9 @@ def fields(pages: DataFrame) -> DataFrame:
     order = [F.col("ingested_at").asc_nulls_last()] if "ingested_at" in pages.columns else [F.lit(1)]
     slim = F.transform("blocks", lambda b: F.struct(b["type"].alias("type"), b["text"].alias("text"), b["caption"].alias("caption")))
     p = one_per_key(pages.select("page_id", "book_id", "page_number", slim.alias("blocks"), *(["ingested_at"] if "ingested_at" in pages.columns else [])), ["page_id"], order)
-    b = p.select("book_id", "page_id", "page_number", F.posexplode("blocks").alias("block_no", "b")).where(~F.coalesce(F.col("b.type"), F.lit("")).isin(*SKIPPED))
-    two = F.array(F.struct(F.lit("text").alias("field"), F.col("b.text").alias("text")), F.struct(F.lit("caption").alias("field"), F.col("b.caption").alias("text")))
+    b = p.select("book_id", "page_id", "page_number", F.posexplode("blocks").alias("block_no", "b"))
+    text = F.when(~F.coalesce(F.col("b.type"), F.lit("")).isin(*SKIPPED), F.col("b.text"))
+    two = F.array(F.struct(F.lit("text").alias("field"), text.alias("text")), F.struct(F.lit("caption").alias("field"), F.col("b.caption").alias("text")))
     return b.select("book_id", "page_id", "page_number", "block_no", F.explode(two).alias("f")).select("book_id", "page_id", "page_number", "block_no", "f.field", "f.text").where("trim(text) <> ''")
 
 

@@ -31,6 +31,11 @@ def test_misread_words_but_no_names(spark):
     assert got == [(1, "text", "misread"), (2, "text", "misread"), (3, "caption", "misread"), (3, "text", "misread")]
 
 
+def test_captions_of_blocks_whose_texts_are_no_cases(spark):
+    got = noise(spark, [page(i, "The c1osed cata-\nlogue", kind, "Table 1: The c1osed cata-\nlogue") for i, kind in enumerate(scannoise.SKIPPED)])
+    assert got == [(i, "caption", n) for i in range(len(scannoise.SKIPPED)) for n in ("hyphenation", "misread")]
+
+
 LINES = ["7", "- 7 -", "Page 7", "p. 7", "[7]", "— 7 —", ". 7 .", "VII", "vii", "- " * 40 + "7" + " -" * 40]
 
 
